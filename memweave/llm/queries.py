@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, syncmers
+from . import lines, mixing, simhash, syncmers
 from .common import table
 
 
@@ -14,10 +14,18 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_syncmer_fingerprints, op10_source_mix]
+    found = [op1_syncmer_fingerprints, op5_fuzzy_line_dedup, op9_simhash_trie_dedup, op10_source_mix]
     return {f.__name__: f for f in found}
