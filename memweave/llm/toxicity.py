@@ -2,8 +2,9 @@
 
 The ordinary dictionary is trained on windows of ordinary documents. Toxic documents are mostly
 ordinary text too, so the toxic dictionary is what sets them apart, put before the same ordinary
-content: segments that recur in toxic documents in unrelated contexts and hardly ever in ordinary ones.
-Each window of a text is compressed with both, under the same parameters; the bytes saved by the toxic
+content: words and beginnings of words that recur in toxic documents in unrelated contexts and hardly ever in ordinary ones.
+They are kept as whole words, and ordinary words that
+look like their beginnings are known to both. Each window of a text is compressed with both, under the same parameters; the bytes saved by the toxic
 dictionary are its gain. A logistic map of a document's largest gains, fitted on the labelled sample,
 calibrates the threshold, and the number of segments is the one that does best on a part left out.
 
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +31,12 @@ from .common import fold_col
 from .training import fit_logistic, labelled_sample, score_documents
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
-WINDOW, ORDINARY_BYTES, TRAIN_WINDOWS, TRAIN_BYTES = 96, 8_000, 20_000, 4_000_000
-#: Numbers of toxic segments to choose from, and their least support.
-SEGMENTS, SUPPORT = (4, 8, 12, 16, 32, 64, 128), 4
+WINDOW, ORDINARY_BYTES, TRAIN_WINDOWS, TRAIN_BYTES = 32, 8_000, 20_000, 4_000_000
+#: Numbers of toxic segments to choose from; their least support in texts, and as a share of toxic texts; the least ratio of shares.
+SEGMENTS, SUPPORT, SPREAD, RATIO = (8, 16, 24, 40, 80, 160, 256), 4, 0.02, 4
+#: Bytes of a segment.
+SHORTEST, LONGEST = 4, 16
+TOXIC_BYTES = 6_000
 _WINDOWS = re.compile(rb".{1,%d}(?:\s|$)|.{%d}" % (WINDOW, WINDOW), re.S)
 _EDGE = b".,;:!?\"'()[]{}<>%$*#&|_-=+/\\"
 
@@ -41,36 +46,63 @@ def windows(text: str) -> list[bytes]:
     return _WINDOWS.findall(text.lower().encode())
 
 
-def _support(texts: list[str]) -> tuple[dict[bytes, int], int]:
-    """For each word the number of unrelated contexts it occurs in, and that of all contexts.
+def _starts(word: bytes) -> Iterator[bytes]:
+    """The word and its beginnings of ``SHORTEST`` bytes or more, whole characters each."""
+    for n in range(SHORTEST, min(len(word), LONGEST) + 1):
+        if n == len(word) or word[n] & 0xC0 != 0x80:
+            yield word[:n]
+
+
+def _words(text: str) -> list[bytes]:
+    return [w for w in (w.strip(_EDGE) for w in text.lower().encode().split()) if w]
+
+
+def _counts(texts: list[str], among: set[bytes] | None = None) -> Counter[bytes]:
+    """In how many texts each beginning of a word occurs."""
+    found: Counter[bytes] = Counter()
+    for text in texts:
+        own = {s for w in set(_words(text)) for s in _starts(w)}
+        found.update(own if among is None else own & among)
+    return found
+
+
+def _support(texts: list[str], among: set[bytes]) -> dict[bytes, int]:
+    """In how many unrelated contexts each occurs.
 
     Contexts of copies and near copies are the same or share a least hash, so a repeated document counts about once.
     """
-    contexts, groups, total = defaultdict(set), defaultdict(lambda: (set(), set(), set())), set()
+    contexts, groups = defaultdict(set), defaultdict(lambda: (set(), set(), set()))
     for text in texts:
-        words = [b"^", *text.lower().encode().split(), b"$"]
+        words = [b"^", *_words(text), b"$"]
         pairs = np.array([xxhash.xxh64_intdigest(b" ".join(p)) for p in zip(words, words[1:], strict=False)], np.uint64)
         least = [int((pairs ^ np.uint64(m)).min()) for m in (0, 0x5BD1_E995_A1B2_C3D4, 0x2545_F491_4F6C_DD1D)]
         for a, b, c in zip(words, words[1:], words[2:], strict=False):
-            b = b.strip(_EDGE)
-            if len(b) >= 3:
-                contexts[b].add((a, c))
-                for seen, v in zip(groups[b], least, strict=True):
-                    seen.add(v)
-        total.update(least[:1])
-    return {w: min(len(v), *map(len, groups[w])) for w, v in contexts.items()}, max(1, len(total))
+            for s in _starts(b):
+                if s in among:
+                    contexts[s].add((a, c))
+                    for seen, v in zip(groups[s], least, strict=True):
+                        seen.add(v)
+    return {s: min(len(v), *map(len, groups[s])) for s, v in contexts.items()}
 
 
 def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words that set toxic documents apart, the most telling first."""
-    has, n = _support(toxic)
-    had, m = _support(ordinary)
+    """Words and beginnings of words that set toxic documents apart, the most telling first; none begins another."""
+    least = max(SUPPORT, SPREAD * len(toxic))
+    has = {s: n for s, n in _counts(toxic).items() if n >= least}
+    had = _counts(ordinary, set(has))
 
-    def ratio(w: bytes) -> float:
-        return (has[w] + 0.5) / n / ((had.get(w, 0) + 0.5) / m)
+    def ratio(n: int, m: int) -> float:
+        return (n + 0.5) / (len(toxic) + 1) / ((m + 0.5) / (len(ordinary) + 1))
 
-    found = [w for w in has if has[w] >= SUPPORT and ratio(w) > 4]
-    return sorted(found, key=lambda w: (-has[w] * math.log(ratio(w)), w))
+    has = _support(toxic, {s for s, n in has.items() if ratio(n, had[s]) > RATIO})
+    telling = {s: n * math.log(ratio(n, had[s])) for s, n in has.items() if n >= least and ratio(n, had[s]) > RATIO}
+    chosen: list[bytes] = []
+    for s in sorted(telling, key=lambda s: (-telling[s], -len(s), s)):
+        if not any(s.startswith(c) or c.startswith(s) for c in chosen):
+            chosen.append(s)
+            if len(chosen) == max(SEGMENTS):
+                break
+    return chosen
 
 
 def ordinary_content(ordinary: list[str]) -> bytes:
@@ -89,9 +121,44 @@ def ordinary_content(ordinary: list[str]) -> bytes:
         return b"".join(found)[-ORDINARY_BYTES:]
 
 
+def whole_words(segments: list[bytes], toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The toxic texts' words that begin with a segment, if found in two texts and in no ordinary one; else the segment."""
+    at = {s: i for i, s in enumerate(segments)}
+    found: Counter[bytes] = Counter()
+    for text in toxic:
+        found.update({w for w in _words(text) if any(s in at for s in _starts(w))})
+    found = Counter({w: n for w, n in found.items() if n >= 2})
+    for text in ordinary:
+        for w in found.keys() & set(_words(text)):
+            del found[w]
+    ranked = sorted(found, key=lambda w: (min(at[s] for s in _starts(w) if s in at), -found[w], w))
+    rest = [s for s in segments if not any(w.startswith(s) for w in ranked)]
+    kept, size = [], 0
+    for w in ranked + rest:
+        size += len(w) + 1
+        if size > TOXIC_BYTES:
+            break
+        kept.append(w)
+    return kept
+
+
+def look_alikes(segments: list[bytes], ordinary: list[str]) -> list[bytes]:
+    """Whole ordinary words that are the beginning of a toxic segment, as both dictionaries should know them."""
+    starts = {p for s in segments for p in _starts(s) if p != s}
+    found: Counter[bytes] = Counter()
+    for text in ordinary:
+        found.update(starts.intersection(_words(text)))
+    return sorted(w for w, n in found.items() if n >= 2)
+
+
+def _content(segments: list[bytes]) -> bytes:
+    """Dictionary content: each segment after a blank, where it begins a word."""
+    return b"".join(b" " + s for s in segments) + b" " * bool(segments)
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=15, chain_log=13, hash_log=13, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2,
+        window_log=15, chain_log=13, hash_log=13, search_log=4, min_match=6, target_length=16, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -101,14 +168,16 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 @lru_cache(maxsize=4)
 def _pair(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-    return _compressor(ordinary), _compressor(toxic + b" " + ordinary)
+    return _compressor(ordinary), _compressor(toxic + ordinary)
 
 
 def gain_features(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
     plain, other = (c.compress for c in _pair(ordinary, toxic))
     gains = np.array([len(plain(w)) - len(other(w)) for w in windows(text)] or [0])
-    top = -np.partition(-np.append(gains, [0, 0]), 2)[:3]
-    return [float(top.max()), float(top.sum()) / 3, float(np.maximum(gains - 2, 0).sum()) / len(gains), math.log1p(len(gains)), float(top.max() >= 3)]
+    top = np.clip(-np.partition(-np.append(gains, [0, 0, 0]), 3)[:4], 0, 8)
+    above = [float((gains >= g).sum()) for g in (1, 2, 4)]
+    n = len(gains)
+    return [float(top.max()), float(top.sum()) / 4, *(math.log1p(a) for a in above), *(a / n for a in above), math.log1p(n), float(top.max() >= 3)]
 
 
 class CompressionDistance:
@@ -117,7 +186,7 @@ class CompressionDistance:
         self.fitted = bool(tox and plain)
         if not self.fitted:
             return
-        self.ordinary = ordinary_content(plain)
+        self.trained = ordinary_content(plain)
         y = np.array([v for _, v in sample], float)
         # the share of toxic documents in the sample is not that of the corpus
         prior = math.log(max(1e-6, toxic_share) / max(1e-6, 1 - toxic_share)) - math.log(len(tox) / len(plain))
@@ -125,18 +194,19 @@ class CompressionDistance:
         best = None
         inner = toxic_segments([t for (t, v), p in zip(sample, part, strict=True) if v == 1 and not p], [t for (t, v), p in zip(sample, part, strict=True) if v == 0 and not p])
         for n in sorted({min(n, len(inner)) for n in SEGMENTS}):
-            x = self._features(sample, b" ".join(inner[:n]))
+            x = self._features(sample, inner[:n], tox, plain)
             z = x[part] @ (w := fit_logistic(x[~part], y[~part]))[:-1] + w[-1] + prior
             weight = np.where(y[part] > 0, toxic_share / max(1, (y[part] > 0).sum()), (1 - toxic_share) / max(1, (y[part] == 0).sum()))
             loss = float((weight * np.logaddexp(0, -np.where(y[part] > 0, z, -z))).sum())
             if best is None or loss < best[0] - 1e-4:
                 best = (loss, n)
-        self.toxic = b" ".join(toxic_segments(tox, plain)[: best[1]])
-        self.weights = fit_logistic(self._features(sample, self.toxic), y)
+        self.weights = fit_logistic(self._features(sample, toxic_segments(tox, plain)[: best[1]], tox, plain), y)
         self.weights[-1] += prior
 
-    def _features(self, sample: list[tuple[str, int]], toxic: bytes) -> np.ndarray:
-        return np.array([gain_features(t, self.ordinary, toxic) for t, _ in sample])
+    def _features(self, sample: list[tuple[str, int]], segments: list[bytes], toxic: list[str], plain: list[str]) -> np.ndarray:
+        """Of the sample's documents, with dictionaries of these segments, which stay the model's."""
+        self.ordinary, self.toxic = self.trained + _content(look_alikes(segments, plain)), _content(whole_words(segments, toxic, plain))
+        return np.array([gain_features(t, self.ordinary, self.toxic) for t, _ in sample])
 
     def score(self, text: str) -> float:
         if not self.fitted:
