@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, without its lineage.
+    """``df`` computed once into a table in the shared checkpoint folder and read from there, without its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where none is set,
-    as in tests. Files there outlive executors, and Spark's cleaner removes them when configured to.
+    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where none is set, as in
+    tests. The table outlives executors, and its size is known to the planner.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        _LOCAL[:] = _LOCAL or [tempfile.mkdtemp(prefix="tables-")]
+        found = _LOCAL[0]
+    return found.rstrip("/")
 
 
 def fold(key, folds: int) -> int:

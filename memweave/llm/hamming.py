@@ -21,26 +21,37 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BITS, STEP = 64, 6
+BITS, STEP = 64, 8
 #: What names a node pair: the rotation, the depth, the path of its first node, and the bits in which the other path differs.
 KEY = ("rot", "depth", "node", "x")
-#: Bound on the pairs that one traversal may hold.
-PAIRS_AT_ONCE = 4_000_000
+#: Bound on the node pairs that a traversal extends at once.
+AT_ONCE = 200_000
 
 
-def pairs_within(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, err, depth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of uint64 codes within ``k`` bits, by traversing pairs of trie nodes together.
+def pairs_within(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, err, depth: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of index pairs of uint64 codes within ``k`` bits, by traversing pairs of trie nodes together.
 
     A node is a range of ``code`` that is sorted and shares its first ``depth`` bits; the arrays name the pairs of nodes to
-    start from and the bits in which their paths differ. A node paired with itself gives each pair of its codes once.
+    start from and the bits in which their paths differ. A node paired with itself gives each pair of its codes once. No
+    more than about ``AT_ONCE`` node pairs are held for each bit.
     """
-    lo_a, hi_a, lo_b, hi_b, err = map(np.asarray, (lo_a, hi_a, lo_b, hi_b, err))
-    for bit in range(BITS - 1 - depth, -1, -1):
+    todo = [(BITS - 1 - depth, *map(np.asarray, (lo_a, hi_a, lo_b, hi_b, err)))]
+    ones: dict[int, np.ndarray] = {}
+    while todo:
+        bit, lo_a, hi_a, lo_b, hi_b, err = todo.pop()
         if not len(lo_a):
-            break
-        ones = np.concatenate(([0], np.cumsum((code & np.uint64(1 << bit)) != 0)))
+            continue
+        if len(lo_a) > AT_ONCE:
+            todo += [(bit, *(c[i : i + AT_ONCE] for c in (lo_a, hi_a, lo_b, hi_b, err))) for i in range(0, len(lo_a), AT_ONCE)]
+            continue
+        if bit < 0:
+            yield from _leaves(lo_a, hi_a, lo_b, hi_b)
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate(([0], np.cumsum((code & np.uint64(1 << bit)) != 0, dtype=np.int32)))
+        n = ones[bit]
         # a node's codes are sorted, so those with this bit set are its tail
-        mid_a, mid_b = hi_a - (ones[hi_a] - ones[lo_a]), hi_b - (ones[hi_b] - ones[lo_b])
+        mid_a, mid_b = hi_a - (n[hi_a] - n[lo_a]), hi_b - (n[hi_b] - n[lo_b])
         once = np.where((lo_a == lo_b) & (hi_a == hi_b), k + 1, err + 1)
         lo_a, hi_a, lo_b, hi_b, err = (
             np.concatenate((lo_a, mid_a, lo_a, mid_a)), np.concatenate((mid_a, hi_a, mid_a, hi_a)),
@@ -48,37 +59,40 @@ def pairs_within(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, err, depth: int, k: i
             np.concatenate((err, err, err + 1, once)),
         )
         keep = (err <= k) & (hi_a > lo_a) & (hi_b > lo_b) & ~((lo_a == lo_b) & (hi_a - lo_a == 1))
-        lo_a, hi_a, lo_b, hi_b, err = lo_a[keep], hi_a[keep], lo_b[keep], hi_b[keep], err[keep]
-    # equal codes share a leaf
-    many = (hi_a - lo_a > 1) | (hi_b - lo_b > 1)
-    i, j = [lo_a[~many]], [lo_b[~many]]
-    for p, q, r, t in zip(lo_a[many], hi_a[many], lo_b[many], hi_b[many], strict=True):
-        if (p, q) == (r, t):
-            i.append(np.arange(p, q - 1))
-            j.append(np.arange(p + 1, q))
-        else:
-            g = np.meshgrid(np.arange(p, q), np.arange(r, t))
-            i.append(g[0].ravel())
-            j.append(g[1].ravel())
-    return np.concatenate(i), np.concatenate(j)
-
-
-def forest(n: int, i: np.ndarray, j: np.ndarray, check: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+        todo.append((bit - 1, lo_a[keep], hi_a[keep], lo_b[keep], hi_b[keep], err[keep]))
+
+
+def _leaves(lo_a, hi_a, lo_b, hi_b) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of codes of the leaf pairs; the codes of a leaf are equal."""
+    one = (hi_a - lo_a == 1) & (hi_b - lo_b == 1)
+    yield lo_a[one], lo_b[one]
+    for p, q, r, t in zip(*(c[~one].tolist() for c in (lo_a, hi_a, lo_b, hi_b)), strict=True):
+        for i in range(p, q):
+            j = np.arange(i + 1 if (p, q) == (r, t) else r, t)
+            yield np.full(len(j), i), j
+
+
+def forest(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], check: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Of the links (i, j), those that join what was not joined before; ``check`` may refuse a link."""
-    root = list(range(n))
+    root = np.arange(n)
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
-            x = root[x]
+            x = int(root[x])
         return x
 
     out = []
-    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-        u, v = find(p), find(q)
-        if u != v and (check is None or check(p, q)):
-            root[u] = v
-            out.append((p, q))
+    for i, j in batches:
+        new = root[i] != root[j]  # most links of a dense group are within one tree already
+        for p, q in zip(i[new].tolist(), j[new].tolist(), strict=True):
+            u, v = find(p), find(q)
+            if u != v and (check is None or check(p, q)):
+                root[u] = v
+                out.append((p, q))
+        if new.any():
+            while not np.array_equal(root, up := root[root]):
+                root[:] = up
     return out
 
 
@@ -91,26 +105,20 @@ def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
             key = [rows[c].to_numpy() for c in KEY]
             side = rows["side"].to_numpy()
             code = rows["code"].to_numpy().view(np.uint64)
-            order = np.lexsort((code, side, *key[::-1]))
-            key, side, code = [c[order] for c in key], side[order], code[order]
-            ids = rows["id"].to_numpy()[order]
-            texts = rows["text"].take(pa.array(order)).to_pylist() if with_text else None
-            new = np.zeros(len(ids), bool)
+            new = np.zeros(len(code), bool)
             for c in key:
                 new[1:] |= c[1:] != c[:-1]
+            order = np.lexsort((code, side, np.cumsum(new)))
+            side, code, ids = side[order], code[order], rows["id"].to_numpy()[order]
+            texts = rows["text"].take(pa.array(order)).to_pylist() if with_text else None
             lo, hi = np.concatenate(([0], np.flatnonzero(new))), np.concatenate((np.flatnonzero(new), [len(ids)]))
             x = key[3][lo].view(np.uint64)
             # side 0 ends where side 1 begins; a node paired with itself has side 0 only
-            split = hi - np.add.reduceat(side, lo)
-            cross = x != 0
-            part = np.cumsum((hi - lo) ** 2) // PAIRS_AT_ONCE
-            found: list[tuple[int, int]] = []
-            for one in np.unique(part):
-                at = part == one
-                node = (lo[at], np.where(cross, split, hi)[at], np.where(cross, split, lo)[at], hi[at])
-                i, j = pairs_within(code, *node, np.bitwise_count(x[at]).astype(np.int64), int(key[1].min()), k)
-                test = (lambda p, q: check(texts[p], texts[q])) if check else None
-                found += [(ids[p], ids[q]) for p, q in forest(len(ids), i, j, test)]
+            split, cross = hi - np.add.reduceat(side, lo), x != 0
+            some = hi - lo > 1
+            start = (lo[some], np.where(cross, split, hi)[some], np.where(cross, split, lo)[some], hi[some], np.bitwise_count(x[some]).astype(np.int64))
+            test = (lambda p, q: check(texts[p], texts[q])) if check else None
+            found = [(ids[p], ids[q]) for p, q in forest(len(ids), pairs_within(code, *start, int(key[1].min()), k), test)]
             if found:
                 a, b = np.array(found, np.int64).T
                 yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
@@ -121,19 +129,19 @@ def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
             if not batch.num_rows:
                 continue
             rows = pa.table(batch)
-            key = list(zip(*(rows[c].to_numpy().tolist() for c in KEY), strict=True))
+            key = [rows[c].to_numpy() for c in KEY]
+            first, end = [tuple(int(c[i]) for c in key) for i in (0, -1)]
             # the last node pair of the batch may go on
-            cut_at = len(key)
-            while cut_at and key[cut_at - 1] == key[-1]:
-                cut_at -= 1
+            other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in key]))
+            cut_at = int(other[-1]) + 1 if len(other) else 0
             if cut_at:
                 yield from flush([*held, rows.slice(0, cut_at)])
                 held = []
-            elif held and last != key[0]:
+            elif held and last != first:
                 yield from flush(held)
                 held = []
             held.append(rows.slice(cut_at))
-            last = key[-1]
+            last = end
         if held:
             yield from flush(held)
 
@@ -157,35 +165,37 @@ def link_forest(codes: DataFrame, k: int, leaf: int, check: Callable[[str, str],
     key = list(KEY)
     edges = None
     while True:
-        size = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
-        size = cut(size.where("n > 1 and (x = 0 or s0 <> s1)").select(*key, (F.col("n") > leaf).alias("large")))
-        here = rows.join(size.where("not large").drop("large"), key, "left_semi")
-        found = (
-            here.repartition(*key).sortWithinPartitions(*key)
-            .mapInArrow(_join_nodes(k, check, bool(text)), "a bigint, b bigint")
-        )
-        found = cut(found)
+        # at the full depth all codes of a node pair are within the budget
+        large = cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > leaf) & (F.col("depth") < BITS)).drop("n"))
+        some = bool(large.head(1))
+        here = rows.join(large, key, "left_anti") if some else rows
+        found = cut(here.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_nodes(k, check, bool(text)), "a bigint, b bigint"))
         edges = found if edges is None else edges.unionByName(found)
-        if not size.where("large").head(1):
+        if not some:
             return edges
-        # the rows of large node pairs go to the pairs of their children that the budget allows
-        rows = rows.join(size.where("large").drop("large"), key, "left_semi")
-        rows = cut(_children(rows, k))
+        rows = cut(_children(rows.join(large, key, "left_semi"), k))
 
 
 def _children(rows: DataFrame, k: int) -> DataFrame:
-    """Rows of node pairs, dealt to pairs of child nodes ``STEP`` bits (or what is left) further down."""
+    """Rows of node pairs, dealt to the pairs of their child nodes that exist and keep the budget, ``STEP`` bits further down.
+
+    A node has at most 2**STEP children, so they are counted first and paired by themselves; each row then goes to its child's pairs.
+    """
     step = F.least(F.lit(STEP), F.lit(BITS) - F.col("depth"))
-    masks = F.array(*[F.lit(m) for m in sorted(range(1 << STEP), key=lambda m: (m.bit_count(), m)) if m.bit_count() <= k])
-    child = F.expr("shiftrightunsigned(code, 64 - (depth + step))")  # this code's own path
-    r = (
-        rows.withColumn("step", step).where("step > 0").withColumn("path", child)
-        .withColumn("m", F.explode(masks)).where("m < shiftleft(1, step) and bit_count(x) + bit_count(m) <= " + str(k))
-        .withColumn("_x", F.expr("shiftleft(x, step) | m"))
+    own = F.expr("shiftrightunsigned(code, 64 - (depth + step))")
+    r = rows.withColumn("step", step).where("step > 0").withColumn("path", own)
+    nodes = cut(r.groupBy(*KEY, "side", "path").agg(F.count("*").alias("n")))
+    a = nodes.where("side = 0").select(*KEY, F.col("path").alias("pa"), F.col("n").alias("na"))
+    b = nodes.select(*KEY, "side", F.col("path").alias("pb"), F.col("n").alias("nb"))
+    pairs = (
+        a.join(b, list(KEY)).where("(x = 0 and pa <= pb) or (x <> 0 and side = 1)")
+        .where(f"bit_count(pa ^ pb) <= {k} and (pa <> pb or na > 1)")
+        .select(*KEY, "pa", "pb")
     )
-    partner = F.col("path").bitwiseXOR(F.col("_x"))
-    # a node pair is named by the path of its side 0, the smaller path (unsigned paths below the full depth are not negative)
-    return r.select(
-        "rot", (F.col("depth") + F.col("step")).alias("depth"), F.least("path", partner).alias("node"), F.col("_x").alias("x"),
-        F.when(F.col("path") <= partner, 0).otherwise(1).alias("side"), "id", "code", *(["text"] if "text" in rows.columns else []),
+    to = pairs.select(*KEY, F.explode(F.expr("if(pa = pb, array(struct(pa as path, 0 as as_side)), array(struct(pa as path, 0 as as_side), struct(pb as path, 1 as as_side)))")).alias("p"), "pa", "pb")
+    to = to.select(*KEY, F.col("p.path").alias("path"), F.col("p.as_side").alias("as_side"), F.col("pa").alias("child"), F.expr("pa ^ pb").alias("differ"))
+    met = r.join(to, [*KEY, "path"]).where("x = 0 or side = as_side")
+    return met.select(
+        "rot", (F.col("depth") + F.col("step")).alias("depth"), F.col("child").alias("node"), F.col("differ").alias("x"), F.col("as_side").alias("side"),
+        "id", "code", *(["text"] if "text" in rows.columns else []),
     )

@@ -25,7 +25,7 @@ from .hamming import link_forest
 
 K, SHINGLE, SEED = 2, 3, 42
 #: Node pairs up to this many codes are traversed inside one task; hashes whose bits are counted at once.
-LEAF, BLOCK = 2_048, 4_096
+LEAF, BLOCK = 8_192, 4_096
 
 
 def simhash(text: bytes | None) -> int:

@@ -40,7 +40,7 @@ def test_simhash_matches_plain(text):
     assert simhash.simhash(text.encode() if text is not None else None) == plain_simhash(text)
 
 
-@pytest.mark.parametrize("leaf", [4, 2000])
+@pytest.mark.parametrize("leaf", [8, 2000])
 def test_link_forest_connects_what_links_connect(spark, leaf):
     rng = random.Random(5)
     centres = [rng.getrandbits(64) for _ in range(12)]
