@@ -24,8 +24,10 @@ from .common import cut
 BITS, STEP = 64, 8
 #: What names a node pair: the rotation, the depth, the path of its first node, and the bits in which the other path differs.
 KEY = ("rot", "depth", "node", "x")
-#: Bound on the node pairs that a traversal extends at once.
+#: Bound on the node pairs that a traversal extends, and the codes that it compares, at once.
 AT_ONCE = 200_000
+#: A pair of nodes with no more pairs of codes than this is a leaf, whose codes are compared one by one.
+FEW = 2_048
 
 
 def pairs_within(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, err, depth: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -44,8 +46,10 @@ def pairs_within(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, err, depth: int, k: i
         if len(lo_a) > AT_ONCE:
             todo += [(bit, *(c[i : i + AT_ONCE] for c in (lo_a, hi_a, lo_b, hi_b, err))) for i in range(0, len(lo_a), AT_ONCE)]
             continue
-        if bit < 0:
-            yield from _leaves(lo_a, hi_a, lo_b, hi_b)
+        few = ((hi_a - lo_a) * (hi_b - lo_b) <= FEW) | (bit < 0)
+        yield from _compared(code, lo_a[few], hi_a[few], lo_b[few], hi_b[few], k)
+        lo_a, hi_a, lo_b, hi_b, err = lo_a[~few], hi_a[~few], lo_b[~few], hi_b[~few], err[~few]
+        if not len(lo_a):
             continue
         if bit not in ones:
             ones[bit] = np.concatenate(([0], np.cumsum((code & np.uint64(1 << bit)) != 0, dtype=np.int32)))
@@ -62,14 +66,19 @@ def pairs_within(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, err, depth: int, k: i
         todo.append((bit - 1, lo_a[keep], hi_a[keep], lo_b[keep], hi_b[keep], err[keep]))
 
 
-def _leaves(lo_a, hi_a, lo_b, hi_b) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of codes of the leaf pairs; the codes of a leaf are equal."""
-    one = (hi_a - lo_a == 1) & (hi_b - lo_b == 1)
-    yield lo_a[one], lo_b[one]
-    for p, q, r, t in zip(*(c[~one].tolist() for c in (lo_a, hi_a, lo_b, hi_b)), strict=True):
-        for i in range(p, q):
-            j = np.arange(i + 1 if (p, q) == (r, t) else r, t)
-            yield np.full(len(j), i), j
+def _compared(code: np.ndarray, lo_a, hi_a, lo_b, hi_b, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of leaf nodes' codes within ``k`` bits, about ``AT_ONCE`` comparisons at a time."""
+    width = hi_b - lo_b
+    todo = (hi_a - lo_a) * width
+    part = np.cumsum(todo) // AT_ONCE
+    for one in np.unique(part):
+        at = np.flatnonzero(part == one)
+        n = todo[at]
+        of = np.repeat(at, n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i, j = lo_a[of] + place // width[of], lo_b[of] + place % width[of]
+        near = (i < j) & (np.bitwise_count(code[i] ^ code[j]) <= k)
+        yield i[near], j[near]
 
 
 def forest(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], check: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
