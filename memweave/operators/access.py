@@ -30,7 +30,8 @@ def user_orgs(memberships: DataFrame, orgs: DataFrame, user_id: str | None = Non
     for name, value in (("user_id", user_id), ("org_id", org_id)):
         if value is not None:
             m = m.where(F.col(name) == value)
-    return m.join(orgs, m["org_id"] == orgs["id"]).select(m["user_id"], m["org_id"], orgs["name"].alias("org_name"), m["role"], orgs["created_at"])
+    o = orgs.select(F.col("id").alias("org_id"), F.col("name").alias("org_name"), "created_at")
+    return m.join(o, "org_id").select("user_id", "org_id", "org_name", "role", "created_at")
 
 
 def org_by_id(memberships: DataFrame, orgs: DataFrame, user_id: str, org_id: str) -> DataFrame:

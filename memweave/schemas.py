@@ -5,37 +5,25 @@ from __future__ import annotations
 from pyspark.sql.types import StructType
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-#: Stored tables.
-TABLES: dict[str, StructType] = {
-    "users": _schema("id string not null, name string, email string, image string, created_at timestamp, updated_at timestamp"),
-    "orgs": _schema("id string not null, name string, created_at timestamp"),
-    "org_memberships": _schema("org_id string not null, user_id string not null, role string, joined_at timestamp"),
-    "namespaces": _schema("org_id string not null, name string not null, created_at timestamp"),
-    "namespace_permissions": _schema("org_id string not null, namespace string not null, user_id string not null, can_read boolean, can_write boolean"),
-    "episodes": _schema("id string not null, raw_text string, user_id string, session_id string, created_at timestamp"),
-    "memory_claims": _schema(
-        "id string not null, tenant_id string, namespace string, user_id string, entity_key string, session_id string, content string, kind string, "
-        "status string, confidence float, categories array<string>, content_hash string, metadata string, occurred_at timestamp, recorded_at timestamp, updated_at timestamp"
-    ),
-    "claim_status_events": _schema("claim_id string not null, status string, seq bigint, at timestamp"),
-    "memory_relationships": _schema(
-        "id string not null, source_claim_id string, target_claim_id string, relation string, confidence float, reason string, tenant_id string, namespace string, "
-        "valid_at timestamp, invalid_at timestamp, tx_created_at timestamp, tx_expired_at timestamp"
-    ),
-    "evidence": _schema("id string not null, claim_id string, episode_id string, start_offset int, end_offset int, excerpt string, confidence float, created_at timestamp"),
-    "entities": _schema(
-        "id string not null, canonical_name string, type string, aliases array<string>, user_id string, tenant_id string, namespace string, first_seen_at timestamp, last_seen_at timestamp"
-    ),
-    "entity_relationships": _schema(
-        "id string not null, subject_entity_id string, predicate string, object_entity_id string, object_literal string, scope string, rationale string, source_claim_id string, "
-        "confidence float, valid_at timestamp, invalid_at timestamp, tx_created_at timestamp, tx_expired_at timestamp"
-    ),
-    "vectors": _schema("id string not null, entity_type string, entity_id string, embedding array<float>"),
-    "quarantine": _schema("episode_id string, item string, idx int, problem string, at timestamp"),
+#: Stored tables, as DDL, which needs no session to be written down.
+TABLES: dict[str, str] = {
+    "users": ("id string not null, name string, email string, image string, created_at timestamp, updated_at timestamp"),
+    "orgs": ("id string not null, name string, created_at timestamp"),
+    "org_memberships": ("org_id string not null, user_id string not null, role string, joined_at timestamp"),
+    "namespaces": ("org_id string not null, name string not null, created_at timestamp"),
+    "namespace_permissions": ("org_id string not null, namespace string not null, user_id string not null, can_read boolean, can_write boolean"),
+    "episodes": ("id string not null, raw_text string, user_id string, session_id string, created_at timestamp"),
+    "memory_claims": ("id string not null, tenant_id string, namespace string, user_id string, entity_key string, session_id string, content string, kind string, "
+        "status string, confidence float, categories array<string>, content_hash string, metadata string, occurred_at timestamp, recorded_at timestamp, updated_at timestamp"),
+    "claim_status_events": ("claim_id string not null, status string, seq bigint, at timestamp"),
+    "memory_relationships": ("id string not null, source_claim_id string, target_claim_id string, relation string, confidence float, reason string, tenant_id string, namespace string, "
+        "valid_at timestamp, invalid_at timestamp, tx_created_at timestamp, tx_expired_at timestamp"),
+    "evidence": ("id string not null, claim_id string, episode_id string, start_offset int, end_offset int, excerpt string, confidence float, created_at timestamp"),
+    "entities": ("id string not null, canonical_name string, type string, aliases array<string>, user_id string, tenant_id string, namespace string, first_seen_at timestamp, last_seen_at timestamp"),
+    "entity_relationships": ("id string not null, subject_entity_id string, predicate string, object_entity_id string, object_literal string, scope string, rationale string, source_claim_id string, "
+        "confidence float, valid_at timestamp, invalid_at timestamp, tx_created_at timestamp, tx_expired_at timestamp"),
+    "vectors": ("id string not null, entity_type string, entity_id string, embedding array<float>"),
+    "quarantine": ("episode_id string, item string, idx int, problem string, at timestamp"),
 }
 
 #: Uniqueness that the tables promise, and references that deletes cascade over: (child, column, parent).
@@ -60,12 +48,15 @@ ACTIONS = ("update", "delete", "noop")
 ROLES = ("owner", "admin", "member")
 
 #: Wire records.
-CREATE_MEMORY = _schema("text string, namespace string, entityKey string, sessionId string")
-JOB = _schema("episodeId string, tenantId string, namespace string, userId string, entityKey string, sessionId string, rawText string")
-EXTRACTION = _schema(
-    "claims array<struct<tempId: string, content: string, kind: string, confidence: double, categories: array<string>>>, "
+CREATE_MEMORY = "text string, namespace string, entityKey string, sessionId string"
+JOB = "episodeId string, tenantId string, namespace string, userId string, entityKey string, sessionId string, rawText string"
+EXTRACTION = ("claims array<struct<tempId: string, content: string, kind: string, confidence: double, categories: array<string>>>, "
     "memoryRelationships array<struct<sourceTempId: string, targetIdOrTempId: string, relation: string, reason: string>>, "
     "entityRelationships array<struct<subject: string, predicate: string, object: string, scope: string, rationale: string, sourceTempId: string>>, "
     "mutations array<struct<targetClaimId: string, action: string, replacementContent: string, reason: string>>, "
-    "evidence array<struct<claimTempId: string, startOffset: int, endOffset: int, excerpt: string>>"
-)
+    "evidence array<struct<claimTempId: string, startOffset: int, endOffset: int, excerpt: string>>")
+
+
+def struct(table: str) -> StructType:
+    """A table's schema; needs a session."""
+    return StructType.fromDDL(TABLES[table])

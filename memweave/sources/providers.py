@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 
 class Extractor(Protocol):
@@ -68,7 +69,7 @@ def with_extraction(prompted: DataFrame, extractor: Extractor) -> DataFrame:
 
 def with_embedding(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     """The rows and ``embedding`` of a text column; a provider's vector of the wrong length is an error."""
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

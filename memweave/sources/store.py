@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.status import current_claims
-from ..schemas import TABLES
+from ..schemas import TABLES, struct
 
 
 class Store:
@@ -33,7 +33,7 @@ class Store:
     def publish(self, batch_id: int, rows: dict[str, DataFrame]) -> None:
         """Write the tables' rows, then the marker."""
         for name, df in rows.items():
-            schema = TABLES[name]
+            schema = struct(name)
             cast = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
             cast.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
         self.spark.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode("overwrite").json(f"{self.path}/_commits/batch={batch_id}")
