@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,16 +36,16 @@ class Store:
             cast.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
         self.spark.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode("overwrite").json(f"{self.path}/_commits/batch={batch_id}")
 
-    def read(self, name: str) -> DataFrame:
-        """The rows of published batches."""
-        paths = [p for b in self.batches() if self._exists(p := f"{self.path}/{name}/batch_id={b}")]
+    def read(self, name: str, before: int | None = None) -> DataFrame:
+        """The rows of published batches, or of those before a number: what a replay of that batch may see."""
+        paths = [p for b in self.batches() if (before is None or b < before) and self._exists(p := f"{self.path}/{name}/batch_id={b}")]
         if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return reduce(DataFrame.unionByName, [self.spark.read.schema(TABLES[name]).parquet(*paths)])
+        return self.spark.read.schema(TABLES[name]).parquet(*paths)
 
-    def claims(self) -> DataFrame:
+    def claims(self, before: int | None = None) -> DataFrame:
         """Claims with their current status, without those that were dropped as duplicates."""
-        return current_claims(self.read("memory_claims"), self.read("claim_status_events")).where("status <> 'deleted'")
+        return current_claims(self.read("memory_claims", before), self.read("claim_status_events", before)).where("status <> 'deleted'")
 
     def compact(self, into: int) -> None:
         """Publish the present rows of every table as one batch and forget the batches before it."""

@@ -51,24 +51,24 @@ class Worker:
     def process(self, jobs: DataFrame, batch_id: int) -> None:
         now = self.clock()
         jobs = jobs.dropDuplicates(["episodeId"]).withColumn("rawText", F.coalesce("rawText", F.lit("")))
-        lost = missing_episodes(jobs, self.store.read("episodes"))
+        lost = missing_episodes(jobs, self.store.read("episodes", batch_id))
         jobs = jobs.join(lost.select("episodeId"), "episodeId", "left_anti").cache()
         # the order of episodes within a batch: a number from the batch and the id
         order = F.lit(batch_id) * (1 << 32) + F.pmod(F.xxhash64("episodeId"), F.lit(1 << 31))
         episodes = jobs.select(
             F.col("episodeId").alias("episode_id"), F.col("tenantId").alias("tenant_id"), "namespace", F.col("userId").alias("user_id"), order.alias("seq"), F.col("rawText").alias("raw_text")
         )
-        claims, vectors = self.store.claims().cache(), self.store.read("vectors")
+        claims, vectors = self.store.claims(batch_id).cache(), self.store.read("vectors", batch_id)
         asked = providers.with_embedding(episodes.drop("seq"), "raw_text", self.embedder)
         found = retrieval.candidates_batch(asked, claims, vectors, self.limit).join(claims.select("id", "content", "kind", "recorded_at"), "id").cache()
         responses = providers.with_extraction(retrieval.prompts(episodes, found), self.extractor).cache()
         items = extraction.parse_responses(responses)
         scope = episodes.drop("raw_text")
         pending = extraction.pending_claims(items["claims"], jobs, now).join(scope.select("episode_id", "seq"), "episode_id").cache()
-        out = resolver.resolve(items, pending, scope, claims, found.select("episode_id", "id"), self.store.read("entities"), now, self.strict, self.fold)
+        out = resolver.resolve(items, pending, scope, claims, found.select("episode_id", "id"), self.store.read("entities", batch_id), now, self.strict, self.fold)
         kept = pending.join(out["removed"].select("id"), "id", "left_anti")
         new = kept.select("id", "content").unionByName(out["memory_claims"].select("id", "content"))
-        table = [c for c in self.store.read("memory_claims").columns]
+        table = claims.columns
         at = F.lit(now).cast("timestamp")
         bad = items["quarantine"].withColumn("at", at).unionByName(out["quarantine"])
         bad = bad.unionByName(lost.select(F.col("episodeId").alias("episode_id"), F.lit("job").alias("item"), F.lit(None).cast("int").alias("idx"), F.lit("Episode not found").alias("problem"), at.alias("at")))
