@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import content_hash, js_trim, present, structured_attributes, utf16_slice
 from ..operators import access, graph, retrieval, status
 from ..operators.resolver import decide_round, first_writer
+from ..streaming import fold_status_files
 from . import model
 
 TENANT, NAMESPACE, USER, QUERY = "src1", "en", 1, 0
@@ -91,6 +94,14 @@ def latest_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.latest_status(e)
 
 
+def streaming_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold as a stream over the events' files, run to their end."""
+    kept = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")  # a local folder only where none is set
+    e = spark.readStream.schema(model.events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    e = e.select(F.col("user_id").alias("claim_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
+    return fold_status_files(e, f"{kept.rstrip('/')}/status-{uuid.uuid4().hex}")
+
+
 def entity_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user and type wins the entity's name."""
     e = model.events(spark, sf_dir)
@@ -324,7 +335,7 @@ def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         candidate_topk, candidate_topk_scoped, candidate_topk_per_episode, vector_neighbours, missing_vector_rank, content_hash_dedupe, dedupe_decisions,
-        active_visible_claims, status_counts, latest_status_fold, entity_first_writer, entity_upsert, quintuplets_from_events, user_orgs_inner_join,
+        active_visible_claims, status_counts, latest_status_fold, streaming_status_fold, entity_first_writer, entity_upsert, quintuplets_from_events, user_orgs_inner_join,
         namespace_acl, gated_requests, readable_claims_by_member, owner_invariant, upsert_profile_sync, provision_users, id_map_redirect_evidence,
         edge_endpoint_coalesce, session_episode_rollup, request_validation, truthy_replacements, cascade_delete, evidence_slice, weekend_filter,
         bitemporal_asof, edge_invalid_at, edge_close_on_supersede, lineage_recursive, hybrid_rrf, extraction_records, prompt_rendering, tenant_isolation,

@@ -44,6 +44,7 @@ SQL: dict[str, str] = {
     "active_visible_claims": f"WITH {_CLAIMS} SELECT id, tenant_id, namespace, user_id, length(content) AS chars FROM claims WHERE status = 'active'",
     "status_counts": f"WITH {_CLAIMS} SELECT tenant_id, namespace, status, count(*) AS n FROM claims GROUP BY ALL",
     "latest_status_fold": "SELECT user_id AS claim_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id",
+    "streaming_status_fold": "SELECT user_id AS claim_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq FROM events GROUP BY user_id",
     "entity_first_writer": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type",
     "entity_upsert": """WITH h AS (SELECT user_id, event_type, event_id % 2 AS half, min(event_id) AS event_id FROM events GROUP BY ALL)
         SELECT user_id, event_type, event_id, half = 1 AS added FROM h WHERE half = 0 OR NOT EXISTS (

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..functions import deterministic_id
 from ..operators import extraction, resolver, retrieval
 from ..schemas import JOB
 from ..sources import providers
@@ -94,10 +93,16 @@ def claim_state_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("claim_id").agg(F.max(F.struct("seq", "status")).alias("e")).select("claim_id", "e.status", "e.seq")
 
 
+def fold_status_files(events: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of status events (claim_id, status, seq) through what there is now; its state, as written below ``folder``."""
+    query = (
+        claim_state_stream(events).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/offsets")
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return events.sparkSession.read.parquet(f"{folder}/state")
+
+
 def enqueue(jobs: DataFrame, path: str) -> None:
     """Append jobs to the worker's folder."""
     jobs.write.mode("append").json(path)
-
-
-def job_key(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumn("job_id", deterministic_id("job", "episodeId"))
