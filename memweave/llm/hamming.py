@@ -13,6 +13,7 @@ The result is not all pairs but a forest: edges that connect exactly what the li
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,8 +127,10 @@ def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
             split, cross = hi - np.add.reduceat(side, lo), x != 0
             some = hi - lo > 1
             start = (lo[some], np.where(cross, split, hi)[some], np.where(cross, split, lo)[some], hi[some], np.bitwise_count(x[some]).astype(np.int64))
+            depth = key[1][lo][some]  # rotations, and so node pairs, differ in it
+            pairs = chain.from_iterable(pairs_within(code, *(c[depth == d] for c in start), int(d), k) for d in np.unique(depth))
             test = (lambda p, q: check(texts[p], texts[q])) if check else None
-            found = [(ids[p], ids[q]) for p, q in forest(len(ids), pairs_within(code, *start, int(key[1].min()), k), test)]
+            found = [(ids[p], ids[q]) for p, q in forest(len(ids), pairs, test)]
             if found:
                 a, b = np.array(found, np.int64).T
                 yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -98,3 +99,25 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert got == [(False, 1, 1), (False, 1, 1), (False, 2, 2)]
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
     assert simhash.keep_one(documents(spark, rows)).count() == 4
+
+
+def test_node_pairs_of_several_depths_in_one_batch(monkeypatch):
+    monkeypatch.setattr(hamming, "FEW", 0)
+    rng = random.Random(8)
+    rows = []
+    for rot, depth in ((0, 29), (1, 30), (2, 29)):
+        for _ in range(40):
+            node, below = rng.getrandbits(depth), 64 - depth
+            x = rng.choice([0, 1, 1, 1 << rng.randrange(depth), 3])
+            base = rng.getrandbits(below)
+            for side, path in ((0, node), (1, node ^ x)) if x else ((0, node),):
+                for _ in range(3):
+                    code = path << below | base ^ rng.choice([0, 1 << rng.randrange(below), 1 << below - 1, 3])
+                    rows.append((rot, depth, node, x, side, len(rows), int(np.uint64(code).view(np.int64))))
+    rows.sort(key=lambda r: r[:4])
+    names = ["rot", "depth", "node", "x", "side", "id", "code"]
+    batch = pa.record_batch({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+    edges = [e for out in hamming._join_nodes(2, None, False)(iter([batch])) for e in zip(*out.to_pydict().values(), strict=True)]
+    near = lambda a, b: ((a[6] ^ b[6]) & (2**64 - 1)).bit_count() <= 2 and a[:4] == b[:4] and (a[3] == 0 or a[4] != b[4])
+    links = [(a[5], b[5]) for i, a in enumerate(rows) for b in rows[:i] if near(a, b)]
+    assert plain_groups(range(len(rows)), edges) == plain_groups(range(len(rows)), links)
