@@ -7,7 +7,7 @@ moves only anchors that it touches. A fingerprint is the ``KEEP`` smallest disti
 text's syncmers, as 12 hex digits each; likeness is the usual bottom-k estimate of the Jaccard index.
 
 Defined results: null text counts as empty; the fingerprint of a text without tokens is empty, and two
-empty ones are alike (1.0); a text with fewer than ``K`` tokens is one window.
+empty ones are alike (1.0); a text with fewer than ``K`` tokens, or with no syncmer, is one window.
 """
 
 from __future__ import annotations
@@ -42,18 +42,21 @@ def _window_hash(k: int) -> str:
     return f"xxhash64(x, {', '.join(f'get(h, i + {j})' for j in range(1, k))}) & {LOW_48}L"
 
 
+def _or_whole(text: str, value: str, whole: str, k: int) -> str:
+    """SQL for ``value`` of each syncmer; of a text with tokens but no syncmer, an array of ``whole``."""
+    return let(_hashes(text), "h", let(_each_syncmer(value, k), "s", f"if(size(s) = 0 and size(h) > 0, array({whole}), s)"))
+
+
 def anchors(text: str, k: int = K) -> Column:
     """Array of (pos, hash) of the text's syncmers, in order: anchors for positional matching."""
     hashed = f"struct(i as pos, {_window_hash(k)} as hash)"
-    short = f"if(size(h) = 0, array(), array(struct(0 as pos, xxhash64(h) & {LOW_48}L as hash)))"
-    return F.expr(let(_hashes(text), "h", f"if(size(h) < {k}, {short}, {_each_syncmer(hashed, k)})"))
+    return F.expr(_or_whole(text, hashed, f"struct(0 as pos, xxhash64(h) & {LOW_48}L as hash)", k))
 
 
 def sketch(text: str, k: int = K, keep: int = KEEP) -> Column:
     """Ascending array of the smallest distinct syncmer hashes."""
     hashed = _window_hash(k)
-    short = f"if(size(h) = 0, array(), array(xxhash64(h) & {LOW_48}L))"
-    found = let(_hashes(text), "h", f"if(size(h) < {k}, {short}, {_each_syncmer(hashed, k)})")
+    found = _or_whole(text, hashed, f"xxhash64(h) & {LOW_48}L", k)
     return F.expr(f"slice(sort_array(array_distinct({found})), 1, {keep})")
 
 

@@ -101,3 +101,10 @@ def test_schedule_spreads_each_source(spark):
     first = [r.source for r in sorted(slots, key=lambda r: r.slot)[:200]]
     for s, w in share.items():
         assert abs(first.count(s) - 200 * w) < 4
+
+
+def test_every_text_with_tokens_has_a_fingerprint(spark):
+    texts = [" ".join(f"{c}{i}" for c in "abcdefg"[:n]) for n in (5, 6, 7) for i in range(30)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", syncmers.sketch("text").alias("s"), syncmers.anchors("text").alias("a")).collect()
+    assert all(r.s and sorted({x["hash"] for x in r.a}) == r.s for r in rows)
+    assert len({(r.text.count(" "), *r.s) for r in rows}) == len(texts)
