@@ -3,13 +3,16 @@
 A text is a sequence of tokens: numbers are ``<number>``, units after a number ``<unit>``, capitalised
 words inside a sentence ``<name>``, other words themselves, without case or punctuation. Windows of
 ``WINDOW`` tokens with at least ``CONTENT`` that are no placeholders are joined by hash with those of the
-benchmark's items. Along one alignment of a document with an item, each slot value of the item must
+benchmark's items, in a second template also with capitalised words at a sentence's start as names. An
+item's other windows, and items of fewer than ``WINDOW`` tokens as one window, are joined on their literal
+tokens with all windows of documents. Along one alignment of a document with an item, each slot value of the item must
 stand for one value of the document; inconsistent alignments count for nothing. A document is
-contaminated by an item if consistent windows cover half of the item's or ``ENOUGH`` of them.
+contaminated by an item if consistent windows cover half of the item's or ``ENOUGH`` of them. The two
+templates are aligned apart; windows of either count.
 
 A bitmap of the item windows' hashes, of one size whatever the benchmark, keeps windows that cannot
-match from being joined. Defined results: null and short texts have no window; items of fewer than
-``WINDOW`` tokens cannot be recognised and match nothing; rows equal in doc_id and text are one document;
+match from being joined. Defined results: null texts and items without tokens have no window; a short item
+contaminates every text that holds its tokens in a row, so an item of one word all texts with the word; rows equal in doc_id and text are one document;
 items with equal templates and slots are all reported.
 """
 
@@ -40,6 +43,8 @@ _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _DIGIT[48:58] = True
 _STOP[list(b".!?:;\n\x00")] = True
 _NUMBER, _UNIT, _NAME = (np.uint64(0x1111_2222_3333_4440 + i) for i in (1, 2, 3))
+#: Sets the hashes of literal windows apart.
+_LITERAL = np.uint64(0x5555_6666_7777_8888)
 
 
 def _hash_tokens(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -55,8 +60,8 @@ def _word_hash(word: str) -> int:
 _UNIT_HASHES = np.sort(np.array([_word_hash(u) for u in UNITS], np.uint64))
 
 
-def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, template token, token as it stands) of every token, tokens as hashes."""
+def template(texts: list[bytes], initial: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, template token, token as it stands) of every token, tokens as hashes; with ``initial`` names also start sentences."""
     data = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8)
     low = np.frombuffer(data.tobytes().translate(LOWER), np.uint8).copy()
     high = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1  # capitals of Latin-1
@@ -79,47 +84,76 @@ def template(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     capital = low[begin] != data[begin]
     capital |= (data[begin] == 0xC3) & (low[begin + 1] != data[begin + 1])
     second = np.where(data[begin] == 0xC3, begin + 2, begin + 1)
-    name = capital & ~start & (second < end) & (data[np.minimum(second, len(data) - 1)] == low[np.minimum(second, len(data) - 1)])
+    name = capital & (~start | initial) & (second < end) & (data[np.minimum(second, len(data) - 1)] == low[np.minimum(second, len(data) - 1)])
     unit = np.zeros(len(begin), bool)
     unit[1:] = number[:-1] & ~start[1:] & np.isin(own[1:], _UNIT_HASHES)
     return text, np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own))), own
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, position, hash) of each window with enough content, and for slots: token slots mask, own hashes, first token."""
-    text, token, own = template(texts)
-    slot = (token == _NUMBER) | (token == _UNIT) | (token == _NAME)
-    first = np.arange(max(0, len(token) - WINDOW + 1))
-    n = len(token) + 1
-    hashes = _span_hashes(token, first, first + WINDOW, _powers(_R, n), _powers(_INVERSE, n))
-    content = np.concatenate(([0], np.cumsum(~slot)))
-    at = np.flatnonzero((text[first] == text[first + WINDOW - 1]) & (content[first + WINDOW] - content[first] >= CONTENT)) if len(first) else first
-    begins = np.searchsorted(text, text)  # of each token's text
-    return text[at], at - begins[at], hashes[at], slot, own, at
+def _spans(text: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of each run of ``size`` tokens of one text."""
+    first = np.arange(max(0, len(values) - size + 1))
+    first = first[text[first] == text[first + size - 1]] if len(first) else first
+    n = len(values) + 1
+    return first, _span_hashes(values, first, first + size, _powers(_R, n), _powers(_INVERSE, n))
+
 
+def windows(texts: list[bytes], sizes: list[int] | None) -> Iterator[tuple]:
+    """(kind, size, text index, position, hash, first token, slots mask, own hashes) of windows, arrays from the text index on.
 
-def _rows(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows (id, t, text) -> (id, t, pos, h, slots) of windows whose bit is set, or all without a bitmap."""
+    Kinds 0 and 1 are of the two templates. Of items (``sizes`` is None) the windows without enough content and short items are
+    literal, of kind 0; of documents the windows of all ``sizes`` are literal besides.
+    """
+    text, _, own = template(texts)
+    begins = np.searchsorted(text, text)  # of each token's text
+    none = np.zeros(len(own), bool)
+    out = lambda kind, size, at, h, slot: (kind, size, text[at], at - begins[at], h, at, slot, own)
+    for kind in (0, 1):
+        token = template(texts, bool(kind))[1]
+        slot = (token == _NUMBER) | (token == _UNIT) | (token == _NAME)
+        at, h = _spans(text, token, WINDOW)
+        content = np.concatenate(([0], np.cumsum(~slot)))
+        rich = content[at + WINDOW] - content[at] >= CONTENT
+        if sizes is not None and kind:  # of documents only those that the first template has otherwise
+            other = np.concatenate(([0], np.cumsum(slot != before)))
+            rich &= other[at + WINDOW] > other[at]
+        before = slot
+        yield out(kind, WINDOW, at[rich], h[rich], slot)
+        if sizes is None and not kind:
+            literal, h = _spans(text, own, WINDOW)
+            yield out(0, WINDOW, literal[~rich], h[~rich] ^ _LITERAL, none)
+    lengths = np.bincount(text, minlength=len(texts))
+    for size in range(1, WINDOW) if sizes is None else sizes:
+        at, h = _spans(text, own, size)
+        if sizes is None:
+            alone = lengths[text[at]] == size
+            at, h = at[alone], h[alone]
+        yield out(0, size, at, h ^ _LITERAL, none)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None, sizes: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (id, t, text) -> (id, t, kind, size, pos, h, slots) of windows whose bit is set, or all without a bitmap."""
     for batch in batches:
         texts = [(t or "").encode().replace(b"\x00", b" ") for t in batch.column("text").to_pylist()]
         size = np.cumsum([len(t) + 1 for t in texts]) // CHUNK if texts else np.zeros(0)
         for part in np.unique(size):
             rows = np.flatnonzero(size == part)
-            text, pos, h, slot, own, at = windows([texts[i] for i in rows])
-            if bitmap is not None:
-                bit = h & np.uint64(BITMAP - 1)
-                hit = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                text, pos, h, at = text[hit], pos[hit], h[hit], at[hit]
-            row = pa.array(rows[text])
-            values = own.view(np.int64)
-            slots = [values[i : i + WINDOW][slot[i : i + WINDOW]].tolist() for i in at.tolist()]
-            yield pa.record_batch({
-                "id": batch.column("id").take(row), "t": batch.column("t").take(row), "pos": pa.array(pos.astype(np.int32)),
-                "h": pa.array(h.view(np.int64)), "slots": pa.array(slots, pa.list_(pa.int64())),
-            })
+            for kind, width, text, pos, h, at, slot, own in windows([texts[i] for i in rows], sizes):
+                if bitmap is not None:
+                    bit = h & np.uint64(BITMAP - 1)
+                    hit = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    text, pos, h, at = text[hit], pos[hit], h[hit], at[hit]
+                row = pa.array(rows[text])
+                values = own.view(np.int64)
+                slots = [values[i : i + WINDOW][slot[i : i + WINDOW]].tolist() for i in at.tolist()]
+                yield pa.record_batch({
+                    "id": batch.column("id").take(row), "t": batch.column("t").take(row), "kind": pa.array(np.full(len(at), kind, np.int32)),
+                    "size": pa.array(np.full(len(at), width, np.int32)), "pos": pa.array(pos.astype(np.int32)),
+                    "h": pa.array(h.view(np.int64)), "slots": pa.array(slots, pa.list_(pa.int64())),
+                })
 
 
-_SCHEMA = "id bigint, t bigint, pos int, h bigint, slots array<bigint>"
+_SCHEMA = "id bigint, t bigint, kind int, size int, pos int, h bigint, slots array<bigint>"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -129,20 +163,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
     known = cut(items.mapInArrow(lambda b: _rows(b, None), _SCHEMA).distinct())
+    sizes = sorted({r["size"] for r in known.select("size").distinct().collect()} | {WINDOW})
     words = known.select(F.pmod("h", F.lit(BITMAP)).alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(bit % 8))")).alias("v")).toPandas()
     bitmap = np.zeros(BITMAP // 8, np.uint8)  # never larger, whatever the benchmark
     bitmap[words["byte"].to_numpy(np.int64)] = words["v"].to_numpy(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
-    found = d.mapInArrow(lambda b: _rows(b, shared.value), _SCHEMA)
-    k = known.select(F.col("id").alias("item_id"), F.col("t").alias("item_t"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
-    total = known.groupBy(F.col("id").alias("item_id"), F.col("t").alias("item_t")).agg(F.count("*").alias("item_windows"))
+    found = d.mapInArrow(lambda b: _rows(b, shared.value, sizes), _SCHEMA).select("id", "t", "pos", "h", "slots")
+    k = known.select(F.col("id").alias("item_id"), F.col("t").alias("item_t"), "kind", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
+    total = known.groupBy(F.col("id").alias("item_id"), F.col("t").alias("item_t")).agg(F.count_distinct("pos").alias("item_windows"))
     pairs = F.explode_outer(F.arrays_zip("item_slots", "slots"))
     # slots of each alignment: one value of the item, one value of the document
     lines = (
         found.join(k, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
-        .select("id", "t", "item_id", "item_t", "shift", "item_pos", pairs.alias("p"))
-        .groupBy("id", "t", "item_id", "item_t", "shift")
+        .select("id", "t", "item_id", "item_t", "kind", "shift", "item_pos", pairs.alias("p"))
+        .groupBy("id", "t", "item_id", "item_t", "kind", "shift")
         .agg(F.collect_set("item_pos").alias("at"), F.count_distinct("p.item_slots").alias("n"), F.count_distinct(F.when(F.col("p.item_slots").isNotNull(), F.col("p"))).alias("m"),
              F.max(F.coalesce(F.col("p.item_slots") != F.col("p.slots"), F.lit(False))).alias("reworded"))
         .where("n = m")

@@ -93,3 +93,14 @@ def test_conversations_read_back(spark):
     assert got[-7].turns_sha256 == sha(f"user\n{tricky}\nassistant\n{tricky}\n") and got[-7].loss_sha256 == sha(tricky)
     assert got[9].n_turns == 500 and got[9].loss_sha256 == sha("".join(f"turn {i}" for i in range(1, 500, 2))) and got[3].loss_chars == 0
     assert set(got) == {1, 2, 3, 9, None, -7}
+
+
+def test_items_of_little_content_short_items_and_initial_names(spark):
+    numbers = "Compute 12 + 7 * 3 - 45 / 9 + 8 and give the result"
+    bob = "Bob gives two apples to the small child. Bob takes one pear from the old man. Bob eats all."
+    items = [(1, numbers), (2, "What is 7 times 8?"), (3, bob), (4, "")]
+    rows = [(1, f"Before. {numbers}. After"), (2, "so what is 7 times 8, then"), (3, bob.replace("Bob", "Alice")), (4, numbers.replace("12", "13").replace("45", "46")), (5, "what is 7 times 9"), (6, bob.replace("Bob", "Alice", 1).replace("Bob", "Carl", 1))]
+    found = decontaminate.report(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} >= {(1, 1), (2, 2), (3, 3)}
+    assert not {(r.doc_id, r.item_id) for r in found} & {(5, 2), (5, 1), (2, 1)} and all(0 < r.coverage <= 1 for r in found)
+    assert {r.doc_id: r.reworded for r in found if (r.doc_id, r.item_id) in {(1, 1), (3, 3)}} == {1: False, 3: True}
