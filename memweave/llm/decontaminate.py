@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slim
-from .lines import _INVERSE, _R, CHUNK, _powers, _span_hashes
+from .hashing import span_hashes
 
 WINDOW, CONTENT, SHARE, ENOUGH = 8, 5, 0.5, 43
 BITMAP = 1 << 24
+#: Bytes of text that are hashed together.
+CHUNK = 1 << 17
 #: Units of measure that are slots after a number.
 UNITS = (
     "mm cm dm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes oz ounce ounces lb lbs "
@@ -48,8 +50,7 @@ _LITERAL = np.uint64(0x5555_6666_7777_8888)
 
 
 def _hash_tokens(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = len(low) + 1
-    return _span_hashes(low.astype(np.uint64), begin, end, _powers(_R, n), _powers(_INVERSE, n))
+    return span_hashes(low.astype(np.uint64), begin, end)
 
 
 def _word_hash(word: str) -> int:
@@ -94,8 +95,7 @@ def _spans(text: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray,
     """(first token, hash) of each run of ``size`` tokens of one text."""
     first = np.arange(max(0, len(values) - size + 1))
     first = first[text[first] == text[first + size - 1]] if len(first) else first
-    n = len(values) + 1
-    return first, _span_hashes(values, first, first + size, _powers(_R, n), _powers(_INVERSE, n))
+    return first, span_hashes(values, first, first + size)
 
 
 def windows(texts: list[bytes], sizes: list[int] | None) -> Iterator[tuple]:
@@ -164,9 +164,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
     known = cut(items.mapInArrow(lambda b: _rows(b, None), _SCHEMA).distinct())
     sizes = sorted({r["size"] for r in known.select("size").distinct().collect()} | {WINDOW})
-    words = known.select(F.pmod("h", F.lit(BITMAP)).alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(bit % 8))")).alias("v")).toPandas()
+    words = known.select(F.pmod("h", F.lit(BITMAP)).alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(bit % 8))")).alias("v")).toArrow()
     bitmap = np.zeros(BITMAP // 8, np.uint8)  # never larger, whatever the benchmark
-    bitmap[words["byte"].to_numpy(np.int64)] = words["v"].to_numpy(np.uint8)
+    bitmap[words["byte"].to_numpy()] = words["v"].to_numpy().astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     d = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), "text")
     found = d.mapInArrow(lambda b: _rows(b, shared.value, sizes), _SCHEMA).select("id", "t", "pos", "h", "slots")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 BITS, STEP = 64, 8
 #: What names a node pair: the rotation, the depth, the path of its first node, and the bits in which the other path differs.
@@ -106,7 +106,32 @@ def forest(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], check: Call
     return out
 
 
-def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
+def stars(found: list[tuple[int, int]], nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node of the trees of a forest over ``nodes`` and the least one of its tree, which connects the same in one step."""
+    if not found:
+        return
+    i, j = np.array(found, np.int64).T
+    at, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+    order = np.argsort(nodes[at], kind="stable")  # the least node has the least place
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.arange(len(at))
+    u, v = rank[place[: len(i)]], rank[place[len(i) :]]
+    least = np.arange(len(at))
+    while True:
+        m = np.minimum(least[u], least[v])
+        now = least.copy()
+        np.minimum.at(now, u, m)
+        np.minimum.at(now, v, m)
+        now = now[now]
+        if np.array_equal(now, least):
+            break
+        least = now
+    own = nodes[at][order]
+    some = least != np.arange(len(at))
+    yield pa.record_batch({"a": pa.array(own[some]), "b": pa.array(own[least[some]])})
+
+
+def _join_nodes(k: int) -> Callable:
     """Arrow batches of rows sorted by node pair -> edges. A node pair may go on in the next batch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +145,6 @@ def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
                 new[1:] |= c[1:] != c[:-1]
             order = np.lexsort((code, side, np.cumsum(new)))
             side, code, ids = side[order], code[order], rows["id"].to_numpy()[order]
-            texts = rows["text"].take(pa.array(order)).to_pylist() if with_text else None
             lo, hi = np.concatenate(([0], np.flatnonzero(new))), np.concatenate((np.flatnonzero(new), [len(ids)]))
             x = key[3][lo].view(np.uint64)
             # side 0 ends where side 1 begins; a node paired with itself has side 0 only
@@ -129,8 +153,7 @@ def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
             start = (lo[some], np.where(cross, split, hi)[some], np.where(cross, split, lo)[some], hi[some], np.bitwise_count(x[some]).astype(np.int64))
             depth = key[1][lo][some]  # rotations, and so node pairs, differ in it
             pairs = chain.from_iterable(pairs_within(code, *(c[depth == d] for c in start), int(d), k) for d in np.unique(depth))
-            test = (lambda p, q: check(texts[p], texts[q])) if check else None
-            found = [(ids[p], ids[q]) for p, q in forest(len(ids), pairs, test)]
+            found = [(ids[p], ids[q]) for p, q in forest(len(ids), pairs)]
             if found:
                 a, b = np.array(found, np.int64).T
                 yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
@@ -160,18 +183,19 @@ def _join_nodes(k: int, check: Callable | None, with_text: bool) -> Callable:
     return task
 
 
-def link_forest(codes: DataFrame, k: int, leaf: int, check: Callable[[str, str], bool] | None = None) -> DataFrame:
-    """codes (id: bigint unique, code: bigint [, text for ``check``]) -> edges (a, b) that connect what links connect.
+def link_forest(codes: DataFrame, k: int, leaf: int, scratch: Scratch | None = None) -> DataFrame:
+    """codes (id: bigint unique, code: bigint unique) -> edges (a, b) that connect what links connect, pairs within ``k`` bits.
 
-    A link is a pair within ``k`` bits that ``check`` accepts. The codes need not differ.
+    The codes differ, so a node of full depth holds one, and no node pair is compared at more than about ``FEW`` places.
     """
-    text = ["text"] if check else []
+    scratch = scratch or Scratch(codes.sparkSession)
+    cut = scratch.cut
     ends = [round(BITS * i / (k + 1)) for i in range(k + 2)]
     rotations = F.explode(F.array(*[F.struct(F.lit(r).alias("rot"), F.lit(ends[r]).alias("turn"), F.lit(ends[r + 1] - ends[r]).alias("depth")) for r in range(k + 1)]))
     turned = F.expr("if(p.turn = 0, code, shiftleft(code, p.turn) | shiftrightunsigned(code, 64 - p.turn))")
     rows = (
-        codes.select("id", "code", *text, rotations.alias("p"))
-        .select("id", "p.rot", "p.depth", turned.alias("code"), *text)
+        codes.select("id", "code", rotations.alias("p"))
+        .select("id", "p.rot", "p.depth", turned.alias("code"))
         .withColumns({"node": F.expr("shiftrightunsigned(code, 64 - depth)"), "x": F.lit(0).cast("long"), "side": F.lit(0)})
     )
     key = list(KEY)
@@ -181,14 +205,14 @@ def link_forest(codes: DataFrame, k: int, leaf: int, check: Callable[[str, str],
         large = cut(rows.groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > leaf) & (F.col("depth") < BITS)).drop("n"))
         some = bool(large.head(1))
         here = rows.join(large, key, "left_anti") if some else rows
-        found = cut(here.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_nodes(k, check, bool(text)), "a bigint, b bigint"))
+        found = cut(here.repartition(*key).sortWithinPartitions(*key).mapInArrow(_join_nodes(k), "a bigint, b bigint"))
         edges = found if edges is None else edges.unionByName(found)
         if not some:
             return edges
-        rows = cut(_children(rows.join(large, key, "left_semi"), k))
+        rows = cut(_children(rows.join(large, key, "left_semi"), k, scratch))
 
 
-def _children(rows: DataFrame, k: int) -> DataFrame:
+def _children(rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """Rows of node pairs, dealt to the pairs of their child nodes that exist and keep the budget, ``STEP`` bits further down.
 
     A node has at most 2**STEP children, so they are counted first and paired by themselves; each row then goes to its child's pairs.
@@ -196,7 +220,7 @@ def _children(rows: DataFrame, k: int) -> DataFrame:
     step = F.least(F.lit(STEP), F.lit(BITS) - F.col("depth"))
     own = F.expr("shiftrightunsigned(code, 64 - (depth + step))")
     r = rows.withColumn("step", step).where("step > 0").withColumn("path", own)
-    nodes = cut(r.groupBy(*KEY, "side", "path").agg(F.count("*").alias("n")))
+    nodes = scratch.cut(r.groupBy(*KEY, "side", "path").agg(F.count("*").alias("n")))
     a = nodes.where("side = 0").select(*KEY, F.col("path").alias("pa"), F.col("n").alias("na"))
     b = nodes.select(*KEY, "side", F.col("path").alias("pb"), F.col("n").alias("nb"))
     pairs = (
@@ -209,5 +233,5 @@ def _children(rows: DataFrame, k: int) -> DataFrame:
     met = r.join(to, [*KEY, "path"]).where("x = 0 or side = as_side")
     return met.select(
         "rot", (F.col("depth") + F.col("step")).alias("depth"), F.col("child").alias("node"), F.col("differ").alias("x"), F.col("as_side").alias("side"),
-        "id", "code", *(["text"] if "text" in rows.columns else []),
+        "id", "code",
     )
