@@ -88,9 +88,11 @@ def test_near_duplicates_match_brute_force(spark):
     got = simhash.near_duplicates(documents(spark, rows).withColumn("code", F.lit(1)).withColumn("id", F.lit(2))).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
     assert {r.doc_id: r.fingerprint for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
-    kept = simhash.keep_one(documents(spark, rows))
+    kept = simhash.keep_one(documents(spark, rows), k=2)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.NEAR]
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()) == sorted(set(plain_groups(prints, links).values()))
 
 
 def test_repeated_rows_null_ids_and_no_rows(spark):
@@ -98,7 +100,29 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in simhash.near_duplicates(documents(spark, rows)).collect() if r.doc_id is not None)
     assert got == [(False, 1, 1), (False, 1, 1), (False, 2, 2)]
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
-    assert simhash.keep_one(documents(spark, rows)).count() == 4
+    assert [r.doc_id for r in simhash.keep_one(documents(spark, rows)).orderBy("doc_id").collect()] == [1, 2]
+    assert simhash.keep_one(documents(spark, [])).collect() == []
+
+
+def test_one_id_on_two_texts_loses_none(spark):
+    rows = [(3, "q r s t u"), (5, "a text of its own"), (5, "q r s t u"), (None, "another one that has no id"), (None, "another one that has no id")]
+    names = {n: F.lit(1) for n in ("row", "code", "doc", "group", "first", "n")}
+    got = simhash.keep_one(documents(spark, rows).withColumns(names).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))).collect()
+    assert sorted((r.doc_id or -1, r.text, r.row) for r in got) == [(-1, "another one that has no id", 1), (3, "q r s t u", 1), (5, "a text of its own", 1)]
+
+
+def test_many_copies_of_one_text(spark):
+    rows = [(i, "the same text in all of them") for i in range(300)] + [(i, f"w{i} x{i * 7} y{i * 11} z{i * 13} v{i * 17}") for i in range(300, 340)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows).repartition(5), leaf=8).collect()}
+    prints = {i: plain_simhash(t) for i, t in rows}
+    links = [(min(a, b), max(a, b)) for a in range(299, 340) for b in range(299, a) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    want = plain_groups(prints, links + [(0, i) for i in range(1, 300)])
+    assert got == want
+
+
+def test_very_long_text():
+    text = " ".join(f"w{i % 777}" for i in range(100_000))
+    assert simhash.simhash(text.encode()) == plain_simhash(text)
 
 
 def test_node_pairs_of_several_depths_in_one_batch(monkeypatch):
@@ -117,7 +141,7 @@ def test_node_pairs_of_several_depths_in_one_batch(monkeypatch):
     rows.sort(key=lambda r: r[:4])
     names = ["rot", "depth", "node", "x", "side", "id", "code"]
     batch = pa.record_batch({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
-    edges = [e for out in hamming._join_nodes(2, None, False)(iter([batch])) for e in zip(*out.to_pydict().values(), strict=True)]
+    edges = [e for out in hamming._join_nodes(2)(iter([batch])) for e in zip(*out.to_pydict().values(), strict=True)]
     near = lambda a, b: ((a[6] ^ b[6]) & (2**64 - 1)).bit_count() <= 2 and a[:4] == b[:4] and (a[3] == 0 or a[4] != b[4])
     links = [(a[5], b[5]) for i, a in enumerate(rows) for b in rows[:i] if near(a, b)]
     assert plain_groups(range(len(rows)), edges) == plain_groups(range(len(rows)), links)
