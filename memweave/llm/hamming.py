@@ -106,31 +106,6 @@ def forest(n: int, batches: Iterator[tuple[np.ndarray, np.ndarray]], check: Call
     return out
 
 
-def stars(found: list[tuple[int, int]], nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(a, b): each node of the trees of a forest over ``nodes`` and the least one of its tree, which connects the same in one step."""
-    if not found:
-        return
-    i, j = np.array(found, np.int64).T
-    at, place = np.unique(np.concatenate((i, j)), return_inverse=True)
-    order = np.argsort(nodes[at], kind="stable")  # the least node has the least place
-    rank = np.empty(len(at), np.int64)
-    rank[order] = np.arange(len(at))
-    u, v = rank[place[: len(i)]], rank[place[len(i) :]]
-    least = np.arange(len(at))
-    while True:
-        m = np.minimum(least[u], least[v])
-        now = least.copy()
-        np.minimum.at(now, u, m)
-        np.minimum.at(now, v, m)
-        now = now[now]
-        if np.array_equal(now, least):
-            break
-        least = now
-    own = nodes[at][order]
-    some = least != np.arange(len(at))
-    yield pa.record_batch({"a": pa.array(own[some]), "b": pa.array(own[least[some]])})
-
-
 def _join_nodes(k: int) -> Callable:
     """Arrow batches of rows sorted by node pair -> edges. A node pair may go on in the next batch."""
 

@@ -35,22 +35,35 @@ def span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
-def word_hashes(lines: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of each word of lines of words between single blanks, about ``most`` bytes of them at a time."""
-    data = b"\n".join(lines) + b"\n"
+def word_hashes(data: bytes, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of each word between blanks and line feeds, about ``most`` bytes at a time."""
     found, at, line = [], 0, 0
-    while at < len(data) and lines:
+    while at < len(data):
         to = len(data)
         if to - at > 2 * most:
             ends = [e for e in (data.find(b" ", at + most), data.find(b"\n", at + most)) if e >= 0]
-            to = min(ends) + 1
+            to = min(ends) + 1 if ends else to
         part = np.frombuffer(data, np.uint8, to - at, at)
         feed = part == 10
-        edge = np.diff((~(feed | (part == 32))).astype(np.int8), prepend=0, append=0)
+        edge = np.diff((~(feed | (part == 32))).view(np.int8), prepend=0, append=0)
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        found.append((span_hashes(part.astype(np.uint64), begin, end), line + np.cumsum(feed)[begin]))
-        line += int(feed.sum())
+        feeds = np.cumsum(feed)
+        found.append((span_hashes(part.astype(np.uint64), begin, end), line + feeds[begin]))
+        line += int(feeds[-1])
         at = to
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate([h for h, _ in found]), np.concatenate([x for _, x in found])
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Take the links (a, b) into ``label``, which names for each node the least one that it is linked to so far."""
+    while True:
+        x, y = label[a], label[b]
+        new = x != y
+        if not new.any():
+            return
+        a, b, x, y = a[new], b[new], x[new], y[new]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, up := label[label]):
+            label[:] = up
