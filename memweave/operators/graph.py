@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Relations that end when their claim is superseded; those of history (UPDATES, DERIVES) never do, the others stay too.
 CLOSING = ("SUPPORTS", "CONTRADICTS")
 
@@ -32,22 +34,29 @@ def with_closing_time(events: DataFrame, key: list[str], at: str = "ts", order:
     return events.withColumn("invalid_at", F.lead(at).over(Window.partitionBy(*key).orderBy(at, order)))
 
 
-def lineage(edges: DataFrame, start: DataFrame, relations: tuple[str, ...] = ("UPDATES", "DERIVES"), most: int = 100) -> DataFrame:
-    """root, id, depth: claims reachable from each start (id) along the relations, at their least depth, up to ``most`` steps.
+def lineage(edges: DataFrame, start: DataFrame, relations: tuple[str, ...] = ("UPDATES", "DERIVES"), hops: int = 4) -> DataFrame:
+    """root, id, depth: claims reachable from each start (id) along the relations, at their least depth, however far.
 
-    Each step joins only what the last one found; reached claims are not visited again, so loops end. Lineage is cut
-    each step by a cached frontier.
+    A round goes ``hops`` steps from where the last one ended and is written; claims that were reached are not
+    visited again, so loops end, and with them the rounds.
     """
-    hop = edges.where(F.col("relation").isin(*relations)).select(F.col("source_claim_id").alias("id"), F.col("target_claim_id").alias("next")).distinct().cache()
-    seen = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, most + 1):
-        new = front.join(hop, "id").select("root", F.col("next").alias("id")).distinct().join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        front = new.withColumn("depth", F.lit(depth)).cache()
+    hop = edges.where(F.col("relation").isin(*relations)).where("source_claim_id <> target_claim_id")
+    hop = written(hop.select(F.col("source_claim_id").alias("id"), F.col("target_claim_id").alias("next")).distinct())
+    seen = written(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
+    front, depth = seen, 0
+    while True:
+        step, found = front.select("root", "id"), None
+        for d in range(depth + 1, depth + hops + 1):
+            step = step.join(hop, "id").select("root", F.col("next").alias("id")).distinct()
+            own = step.withColumn("depth", F.lit(d))
+            found = own if found is None else found.unionByName(own)
+        least = found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+        new = written(least.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        depth += hops
+        seen = seen.unionByName(new)
+        front = new.where(F.col("depth") == depth)
         if not front.head(1):
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
 
 
 def crossing_edges(edges: DataFrame, claims: DataFrame) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import content_hash, js_trim, present, structured_attributes, utf16_slice
 from ..operators import access, graph, retrieval, status
-from ..operators.resolver import decide_round, first_writer
+from ..operators.extraction import ITEMS, parse_responses
+from ..operators.resolver import decide_round, first_writer, resolve
+from ..sources.scratch import shared_folder
 from ..streaming import fold_status_files
 from . import model
 
@@ -71,9 +72,9 @@ def dedupe_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pending claim resolved against the active ones of its tenant, namespace and user: activated, or a duplicate and of which."""
     c = model.hashed(model.claims(spark, sf_dir))
     scope = ["tenant_id", "namespace", "user_id"]
-    p = c.where("status = 'pending_review'").withColumn("episode_id", F.concat_ws("/", *scope)).withColumn("idx", F.col("id").cast("int"))
-    p = p.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
-    active = c.where("status = 'active'").select(F.lpad(F.col("id").cast("string"), 12, "0").alias("id"), *scope, "content_hash")
+    p = c.where("status = 'pending_review'").withColumn("episode_id", F.concat_ws("/", *scope)).withColumn("idx", F.col("id"))
+    p = p.withColumn("id", F.lpad(F.col("id").cast("string"), 20, "0"))
+    active = c.where("status = 'active'").select(F.lpad(F.col("id").cast("string"), 20, "0").alias("id"), *scope, "content_hash")
     none = spark.createDataFrame([], "episode_id string, tenant_id string, namespace string, user_id bigint, seq bigint, idx int, target string, text string, hash string")
     d = decide_round(none, p, active)
     return d.select(F.col("id").cast("long").alias("id"), F.col("what").alias("decision"), F.coalesce("other", "id").cast("long").alias("kept"))
@@ -96,10 +97,9 @@ def latest_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream over the events' files, run to their end."""
-    kept = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")  # a local folder only where none is set
     e = spark.readStream.schema(model.events(spark, sf_dir).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     e = e.select(F.col("user_id").alias("claim_id"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
-    return fold_status_files(e, f"{kept.rstrip('/')}/status-{uuid.uuid4().hex}")
+    return fold_status_files(e, f"{shared_folder(spark)}/status-{uuid.uuid4().hex}")
 
 
 def entity_first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,11 +269,9 @@ def edge_close_on_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each of the last hundred claims of the log goes back to over UPDATES and DERIVES."""
+    """What each claim of the log goes back to over UPDATES and DERIVES."""
     e = model.edges(spark, sf_dir)
-    top = e.agg(F.max("id")).first()[0] or 0
-    start = e.where(F.col("id") > top - 100).select("id")
-    return graph.lineage(e, start).select("root", "id", F.col("depth").cast("long").alias("depth"))
+    return graph.lineage(e, e.select("id")).select("root", "id", F.col("depth").cast("long").alias("depth"))
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,16 +287,90 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as extraction records in JSON: parsed, validated item by item, bad records in quarantine."""
-    from ..operators.extraction import parse_responses
-
     e = model.events(spark, sf_dir)
     claim = F.struct(F.lit("c0").alias("tempId"), F.col("event_type").alias("content"), F.lit("fact").alias("kind"), (F.col("value") / 100).alias("confidence"), F.array(F.lit("x")).alias("categories"))
     edge = F.struct(F.lit("c0").alias("sourceTempId"), F.lit("c1").alias("targetIdOrTempId"), F.when(F.col("event_id") % 10 == 0, "BREAKS").otherwise("EXTENDS").alias("relation"), F.lit("r").alias("reason"))
     none = F.from_json(F.lit("[]"), "array<struct<x: string>>")
     record = F.to_json(F.struct(F.array(claim).alias("claims"), F.array(edge).alias("memoryRelationships"), none.alias("entityRelationships"), none.alias("mutations"), none.alias("evidence")))
     items = parse_responses(e.select(F.col("event_id").cast("string").alias("episode_id"), F.when(F.col("event_id") % 17 == 0, "not json").otherwise(record).alias("response")))
-    good = items["claims"].select(F.col("episode_id").cast("long").alias("event_id"), F.lit("ok").alias("problem"))
-    return good.unionByName(items["quarantine"].select(F.col("episode_id").cast("long").alias("event_id"), "problem"))
+    out = items["quarantine"].select("episode_id", "item", "problem")
+    for name in ITEMS.values():
+        out = out.unionByName(items[name].select("episode_id", F.lit(name).alias("item"), F.lit("ok").alias("problem")))
+    return out.select(F.col("episode_id").cast("long").alias("event_id"), "item", "problem")
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every event as an episode of its own scope with one old claim (o and its number), two extracted ones (a, b), mutations of the
+    old one or of one that does not exist, and citations, edges and quintuplets of old, extracted and unknown claims."""
+    e = model.events(spark, sf_dir).select("event_id", "event_type")
+    n, key = F.col("event_id"), F.col("event_id").cast("string")
+    scope = [F.lit("t").alias("tenant_id"), F.lit("n").alias("namespace"), F.concat(F.lit("u"), key).alias("user_id")]
+    named = lambda letter: F.concat(F.lit(letter), key)
+    old, a, b = F.concat(F.lit("old "), "event_type"), F.concat(F.lit("new "), key), F.concat(F.lit("text of b "), key)
+    first = F.when(n % 3 == 0, old).otherwise(a)
+    episodes = e.select(key.alias("episode_id"), *scope, n.alias("seq"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.lit("a").alias("temp_id"), named("a").alias("id"), first.alias("content")), F.struct(F.lit(1).alias("idx"), F.lit("b").alias("temp_id"), named("b").alias("id"), b.alias("content"))))
+    pending = e.select(key.alias("episode_id"), *scope, n.alias("seq"), both.alias("c")).select("episode_id", "tenant_id", "namespace", "user_id", "seq", "c.*").withColumn("content_hash", content_hash("content"))
+    claims = e.select(named("o").alias("id"), *scope, content_hash(old).alias("content_hash"), F.lit("active").alias("status"))
+    text = F.when(n % 4 == 0, F.concat(F.lit(" Replaced "), key)).when(n % 4 == 2, F.concat(F.lit("TEXT of b "), key))
+    action = F.when(n % 4 == 3, "noop").when(n % 4 == 1, "delete").otherwise("update")
+
+    def items(*rows: tuple[Column, ...], names: str) -> DataFrame:
+        each = [F.struct(F.lit(i).alias("idx"), *[c.alias(m) for c, m in zip(r, names.split(), strict=True)]) for i, r in enumerate(rows)]
+        return e.select(key.alias("episode_id"), F.explode(F.array(*each)).alias("x")).select("episode_id", "x.*")
+
+    lit, why = F.lit, F.lit("why")
+    lost = F.when(n % 5 == 0, "nowhere").otherwise(named("o"))
+    got = {
+        "mutations": items((named("o"), action, text, why), (lost, F.when(n % 5 == 0, "delete").otherwise("noop"), lit(None).cast("string"), why), names="targetClaimId action replacementContent reason"),
+        "evidence": items((lit("a"), lit(0), lit(3), lit("a")), (named("o"), lit(1), lit(2), lit("old")), (lit("zz"), lit(0), lit(1), lit("lost")), names="claimTempId startOffset endOffset excerpt"),
+        "edges": items((lit("b"), lit("a"), lit("EXTENDS"), why), (named("o"), lit("b"), lit("SUPPORTS"), why), (lit("a"), lit("elsewhere"), lit("MENTIONS"), why), (lit("zz"), lit("a"), lit("DERIVES"), why), names="sourceTempId targetIdOrTempId relation reason"),
+        "quintuplets": items((F.col("event_type"), lit("is"), lit("x"), lit("s"), why, lit("a")), (F.col("event_type"), lit("was"), lit("y"), lit("s"), why, named("o")), (lit("ghost"), lit("was"), lit("z"), lit("s"), why, lit("zz")), names="subject predicate object scope rationale sourceTempId"),
+    }
+    none = spark.createDataFrame([], "id string, tenant_id string, namespace string, canonical_name string")
+    seen = e.select(key.alias("episode_id"), named("o").alias("id"))
+    return resolve(got, pending, episodes, claims, seen, none, datetime.datetime(2024, 1, 1))
+
+
+def _label(name: str) -> Column:
+    """Ids of given claims as they stand, those that were made as ``made``."""
+    return F.when(F.col(name).rlike("^([abo][0-9]+|elsewhere)$"), F.col(name)).otherwise("made").alias(name)
+
+
+def resolve_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mutations and the extracted claims of every event come to: changed status, replacements, duplicates, refusals."""
+    r = _resolved(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    events = r["claim_status_events"].select(F.col("status").alias("what"), F.col("claim_id").alias("id"), none.alias("other"))
+    made = r["memory_claims"].select(F.lit("replacement").alias("what"), F.col("content").alias("id"), none.alias("other"))
+    dropped = r["removed"].select(F.lit("duplicate").alias("what"), "id", F.col("survivor").alias("other"))
+    refused = r["quarantine"].select(F.lit("refused").alias("what"), F.col("episode_id").alias("id"), F.col("problem").alias("other"))
+    return events.unionByName(made).unionByName(dropped).unionByName(refused)
+
+
+def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of extracted and old claims, and those from replacements to what they replace."""
+    r = _resolved(spark, sf_dir)["memory_relationships"]
+    return r.select(_label("source_claim_id"), _label("target_claim_id"), "relation")
+
+
+def resolve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of extracted claims, which follow duplicates, and of old ones."""
+    return _resolved(spark, sf_dir)["evidence"].select(F.col("episode_id").cast("long").alias("event_id"), "claim_id", "excerpt", "start_offset", "end_offset")
+
+
+def resolve_quintuplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quintuplets with their subject's name and the claim that they come from."""
+    r = _resolved(spark, sf_dir)
+    names = r["entities"].select(F.col("id").alias("subject_entity_id"), "canonical_name")
+    return r["entity_relationships"].join(names, "subject_entity_id").select("canonical_name", "predicate", "object_literal", "source_claim_id")
+
+
+def active_hash_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest active claim of the same scope and content hash, for each claim."""
+    c = model.hashed(model.claims(spark, sf_dir))
+    probes = c.select(F.col("id").alias("probe_id"), "tenant_id", "namespace", "user_id", "content_hash")
+    return retrieval.active_by_hash(c, probes).select("probe_id", "survivor")
 
 
 def prompt_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +384,7 @@ def prompt_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tenant_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that would cross namespaces, which strict resolution refuses."""
+    """Edges that would cross namespaces."""
     c = model.claims(spark, sf_dir).select("id", "tenant_id", "namespace")
     return graph.crossing_edges(model.edges(spark, sf_dir).select("id", "source_claim_id", "target_claim_id"), c)
 
@@ -320,7 +392,9 @@ def tenant_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose JSON holds a value, by the containment filter."""
     e = model.events(spark, sf_dir)
-    return e.where(F.get_json_object("props", "$.k") == "7").select("event_id", "user_id")
+    scope = [F.lit(TENANT).alias("tenant_id"), F.lit(NAMESPACE).alias("namespace"), F.lit(USER).alias("scope_user"), F.lit("active").alias("status")]
+    c = e.select("event_id", F.col("user_id").alias("own_user"), F.col("props").alias("metadata"), *scope).withColumnRenamed("scope_user", "user_id")
+    return retrieval.in_scope(c, TENANT, NAMESPACE, USER, metadata={"k": 7}).select("event_id", F.col("own_user").alias("user_id"))
 
 
 def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,6 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         namespace_acl, gated_requests, readable_claims_by_member, owner_invariant, upsert_profile_sync, provision_users, id_map_redirect_evidence,
         edge_endpoint_coalesce, session_episode_rollup, request_validation, truthy_replacements, cascade_delete, evidence_slice, weekend_filter,
         bitemporal_asof, edge_invalid_at, edge_close_on_supersede, lineage_recursive, hybrid_rrf, extraction_records, prompt_rendering, tenant_isolation,
+        resolve_mutations, resolve_edges, resolve_evidence, resolve_quintuplets, active_hash_probe,
         metadata_filter, reference_check,
     ]
     return {f.__name__: f for f in found} | {"structured_attributes": structured_attributes_query}

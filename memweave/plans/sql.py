@@ -25,6 +25,9 @@ _SCOPED = """per AS (
   JOIN claims c ON c.tenant_id = q.tenant_id AND c.namespace = q.namespace AND c.user_id = q.user_id AND c.status = 'active'
   LEFT JOIN embeddings v ON v.vec_id = c.id)"""
 
+#: Of each event the mutation it has (0 a new text, 1 delete, 2 the text of b, 3 none) and where claim a ends up.
+_FATE = """fate AS (SELECT event_id, event_type, event_id % 4 AS m, CASE WHEN event_id % 3 = 0 AND event_id % 4 = 3 THEN 'o' ELSE 'a' END || event_id AS a FROM events)"""
+
 SQL: dict[str, str] = {
     "candidate_topk": f"""WITH {_CLAIMS} SELECT c.id, c.kind, c.recorded_at, row_number() OVER (ORDER BY {_DISTANCE}, c.recorded_at DESC, c.id)::INTEGER AS rank
         FROM claims c LEFT JOIN embeddings e ON e.vec_id = c.id WHERE c.namespace = 'en' AND c.status = 'active' ORDER BY rank LIMIT 10""",
@@ -88,8 +91,8 @@ SQL: dict[str, str] = {
     "edge_close_on_supersede": f"""WITH {_CLAIMS}, {_EDGES}, gone AS (SELECT id FROM claims WHERE status = 'superseded')
         SELECT id, relation, relation IN ('SUPPORTS', 'CONTRADICTS') AND (source_claim_id IN (FROM gone) OR target_claim_id IN (FROM gone)) AS closed FROM edges""",
     "lineage_recursive": f"""WITH RECURSIVE {_EDGES}, walk AS (
-          SELECT id AS root, id, 0 AS depth FROM edges WHERE id > (SELECT max(id) FROM edges) - 100
-          UNION SELECT w.root, e.target_claim_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_claim_id = w.id AND e.relation IN ('UPDATES', 'DERIVES') WHERE w.depth < 100)
+          SELECT id AS root, id, 0 AS depth FROM edges
+          UNION SELECT w.root, e.target_claim_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_claim_id = w.id AND e.relation IN ('UPDATES', 'DERIVES') AND e.target_claim_id <> e.source_claim_id)
         SELECT root, id, min(depth)::BIGINT AS depth FROM walk GROUP BY root, id""",
     "hybrid_rrf": rf"""WITH {_CLAIMS}, act AS (SELECT * FROM claims WHERE status = 'active'),
         v AS (SELECT c.id, row_number() OVER (ORDER BY {_DISTANCE}, c.recorded_at DESC, c.id) AS rank FROM act c LEFT JOIN embeddings e ON e.vec_id = c.id),
@@ -100,18 +103,36 @@ SQL: dict[str, str] = {
         b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM hits JOIN df USING (x), s GROUP BY id),
         t AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b),
         r AS (SELECT id, row_number() OVER (ORDER BY recorded_at DESC, id) AS rank FROM act),
-        every AS (SELECT * FROM v WHERE rank <= 50 UNION ALL SELECT * FROM t WHERE rank <= 50 UNION ALL SELECT * FROM r WHERE rank <= 50),
+        every AS (SELECT * FROM v UNION ALL SELECT * FROM t UNION ALL SELECT * FROM r),
         f AS (SELECT id, round(sum(1::DOUBLE / (60 + rank)), 9) AS score FROM every GROUP BY id)
         SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f ORDER BY rank LIMIT 10""",
-    "extraction_records": """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'not a record' ELSE 'ok' END AS problem FROM events
-        WHERE event_id % 17 = 0 OR (event_id % 10 <> 0 AND value / 100 BETWEEN 0 AND 1)
-        UNION ALL SELECT event_id, 'unknown relation' FROM events WHERE event_id % 17 <> 0 AND event_id % 10 = 0
-        UNION ALL SELECT event_id, 'confidence is not in 0..1' FROM events WHERE event_id % 17 <> 0 AND NOT (value / 100 BETWEEN 0 AND 1)""",
+    "extraction_records": """SELECT event_id, 'record' AS item, 'not a record' AS problem FROM events WHERE event_id % 17 = 0
+        UNION ALL SELECT event_id, unnest(['claims', 'edges']), 'ok' FROM events WHERE event_id % 17 <> 0 AND event_id % 10 <> 0 AND value / 100 BETWEEN 0 AND 1
+        UNION ALL SELECT event_id, 'edges', 'unknown relation' FROM events WHERE event_id % 17 <> 0 AND event_id % 10 = 0
+        UNION ALL SELECT event_id, 'claims', 'confidence is not in 0..1' FROM events WHERE event_id % 17 <> 0 AND NOT (value / 100 BETWEEN 0 AND 1)""",
     "prompt_rendering": f"""WITH {_CLAIMS}, {_SCOPED} SELECT v.vec_id AS episode_id, count(p.id) AS n, coalesce(string_agg(p.id, ',' ORDER BY p.rank), '') AS ids
         FROM embeddings v LEFT JOIN per p ON p.episode_id = v.vec_id AND p.rank <= 10 GROUP BY v.vec_id""",
     "tenant_isolation": f"""WITH {_CLAIMS}, {_EDGES} SELECT e.id, e.source_claim_id, e.target_claim_id FROM edges e JOIN claims a ON a.id = e.source_claim_id JOIN claims b ON b.id = e.target_claim_id
         WHERE (a.tenant_id, a.namespace) <> (b.tenant_id, b.namespace)""",
     "metadata_filter": "SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '7'",
+    "resolve_mutations": f"""WITH {_FATE}
+        SELECT 'superseded' AS what, 'o' || event_id AS id, NULL::VARCHAR AS other FROM fate WHERE m <> 3
+        UNION ALL SELECT 'active', a, NULL FROM fate WHERE a[1] = 'a'
+        UNION ALL SELECT 'active', 'b' || event_id, NULL FROM fate
+        UNION ALL SELECT 'replacement', 'Replaced ' || event_id, NULL FROM fate WHERE m = 0
+        UNION ALL SELECT 'duplicate', 'a' || event_id, a FROM fate WHERE a[1] = 'o'
+        UNION ALL SELECT 'refused', event_id::VARCHAR, 'no such claim to change' FROM fate WHERE event_id % 5 = 0""",
+    "resolve_edges": f"""WITH {_FATE}
+        SELECT 'b' || event_id AS source_claim_id, a AS target_claim_id, 'EXTENDS' AS relation FROM fate
+        UNION ALL SELECT 'o' || event_id, 'b' || event_id, 'SUPPORTS' FROM fate
+        UNION ALL SELECT a, 'elsewhere', 'MENTIONS' FROM fate
+        UNION ALL SELECT CASE m WHEN 0 THEN 'made' ELSE 'b' || event_id END, 'o' || event_id, 'UPDATES' FROM fate WHERE m IN (0, 2)""",
+    "resolve_evidence": f"""WITH {_FATE} SELECT event_id, a AS claim_id, 'a' AS excerpt, 0 AS start_offset, 3 AS end_offset FROM fate
+        UNION ALL SELECT event_id, 'o' || event_id, 'old', 1, 2 FROM fate""",
+    "resolve_quintuplets": f"""WITH {_FATE} SELECT event_type AS canonical_name, 'is' AS predicate, 'x' AS object_literal, a AS source_claim_id FROM fate
+        UNION ALL SELECT event_type, 'was', 'y', 'o' || event_id FROM fate""",
+    "active_hash_probe": f"""WITH {_HASHED}, s AS (SELECT tenant_id, namespace, user_id, content_hash, min(id) AS survivor FROM hashed WHERE status = 'active' GROUP BY ALL)
+        SELECT h.id AS probe_id, s.survivor FROM hashed h LEFT JOIN s USING (tenant_id, namespace, user_id, content_hash)""",
     "reference_check": """SELECT 'vectors' AS what, vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT 'repeated', doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -52,15 +52,17 @@ class Worker:
         jobs = jobs.dropDuplicates(["episodeId"]).withColumn("rawText", F.coalesce("rawText", F.lit("")))
         lost = missing_episodes(jobs, self.store.read("episodes", batch_id))
         jobs = jobs.join(lost.select("episodeId"), "episodeId", "left_anti").cache()
-        # the order of episodes within a batch: a number from the batch and the id
-        order = F.lit(batch_id) * (1 << 32) + F.pmod(F.xxhash64("episodeId"), F.lit(1 << 31))
-        episodes = jobs.select(
+        # the order of episodes: their batch, then when they arrived
+        arrived = self.store.read("episodes", batch_id).select(F.col("id").alias("episodeId"), F.col("created_at").alias("_at")).dropDuplicates(["episodeId"])
+        order = F.lit(batch_id) * (1 << 32) + F.row_number().over(Window.partitionBy("tenantId").orderBy("_at", "episodeId"))
+        episodes = jobs.join(arrived, "episodeId").select(
             F.col("episodeId").alias("episode_id"), F.col("tenantId").alias("tenant_id"), "namespace", F.col("userId").alias("user_id"), order.alias("seq"), F.col("rawText").alias("raw_text")
         )
         claims, vectors = self.store.claims(batch_id).cache(), self.store.read("vectors", batch_id)
         asked = providers.with_embedding(episodes.drop("seq"), "raw_text", self.embedder)
         found = retrieval.candidates_batch(asked, claims, vectors, self.limit).join(claims.select("id", "content", "kind", "recorded_at"), "id").cache()
-        responses = providers.with_extraction(retrieval.prompts(episodes, found), self.extractor).cache()
+        # the model is asked once for a batch: what it said is stored before anything follows from it
+        responses = self.store.once(f"responses/batch_id={batch_id}", providers.with_extraction(retrieval.prompts(episodes, found), self.extractor))
         items = extraction.parse_responses(responses)
         scope = episodes.drop("raw_text")
         pending = extraction.pending_claims(items["claims"], jobs, now).join(scope.select("episode_id", "seq"), "episode_id").cache()
@@ -76,7 +78,7 @@ class Worker:
             "vectors": extraction.vector_rows(providers.with_embedding(new, "content", self.embedder)),
             "quarantine": bad,
         } | {n: out[n] for n in ("claim_status_events", "memory_relationships", "evidence", "entities", "entity_relationships")})
-        for df in (jobs, claims, found, responses, pending):
+        for df in (jobs, claims, found, pending):
             df.unpersist()
 
     def start(self, jobs_path: str, checkpoint: str, files: int = 100, once: bool = False) -> StreamingQuery:

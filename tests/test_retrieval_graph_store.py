@@ -128,3 +128,50 @@ def test_worker_resolves_once_and_a_replay_changes_nothing(spark, tmp_path):
     assert first[1:] == (["Episode not found", "not a record"], 2, 3)
     w.process(spark.read.schema(JOB).json(str(tmp_path / "jobs")), 1_000)  # the same batch again
     assert state() == first
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_worker_takes_messages_in_the_order_they_arrived(spark, tmp_path, fold):
+    """The later message updates what the earlier one said, whatever their ids are."""
+    store = Store(spark, str(tmp_path / "store"))
+    at = lambda m: NOW + datetime.timedelta(minutes=m)
+    ep = spark.createDataFrame([(i, t, "u", None, at(m)) for i, t, m in [("z", "I use Bun.", 0), ("a", "i use bun.", 1), ("m", "I run.", 2)]], "id string, raw_text string, user_id string, session_id string, created_at timestamp")
+    store.publish(1, {"episodes": ep})
+    job = ep.select(F.col("id").alias("episodeId"), F.lit("t").alias("tenantId"), F.lit("default").alias("namespace"), F.col("user_id").alias("userId"), F.lit(None).cast("string").alias("entityKey"), F.lit(None).cast("string").alias("sessionId"), F.col("raw_text").alias("rawText"))
+    Worker(store, Script({}), providers.HashEmbedder(4), clock=lambda: NOW, fold=fold).process(job, 2)
+    assert {(r.content, r.status) for r in store.claims().collect()} == {("I use Bun.", "active"), ("I run.", "active")}
+    assert {r.claim_id for r in store.read("evidence").where("episode_id = 'a'").collect()} == {r.id for r in store.claims().where("content = 'I use Bun.'").collect()}
+
+
+def test_compaction_shows_every_row_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for n in range(1, 5):
+        store.publish(n, {"episodes": spark.createDataFrame([(f"e{n}", "x", "u", None, NOW)], "id string, raw_text string, user_id string, session_id string, created_at timestamp")})
+    store.compact()
+    assert store.batches() == [3, 4]
+    assert sorted(r.id for r in store.read("episodes").collect()) == ["e1", "e2", "e3", "e4"]
+    assert sorted(r.id for r in store.read("episodes", 4).collect()) == ["e1", "e2", "e3"]
+    store.compact()
+    assert store.batches() == [3, 4] and store.read("episodes").count() == 4
+
+
+def test_json_containment_tells_types_apart(spark):
+    rows = [('{"a.b": 7, "n": {"x": true, "y": [1]}, "s": "7"}',), ('{"a.b": "7", "n": {"x": "true"}}',), ("not json",), (None,), ('{"a.b": null}',)]
+    df = spark.createDataFrame(rows, "metadata string").withColumn("i", F.monotonically_increasing_id())
+    at = lambda **w: sorted(rows.index((r.metadata,)) for r in df.where(retrieval.contains_json(F.col("metadata"), w)).collect())
+    assert at(**{"a.b": 7}) == [0] and at(**{"a.b": "7"}) == [1] and at(**{"a.b": None}) == [4]
+    assert at(n={"x": True}) == [0] and at(n={"x": "true"}) == [1] and at(s="7", **{"a.b": 7.0}) == [0]
+
+
+def test_all_ranks_of_a_distributed_sort(spark):
+    rows = [(i, (i * 37) % 101) for i in range(101)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(7)
+    want = {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: -r[1]))}
+    assert {r.id: r["rank"] for r in retrieval.ranked(df, F.col("v").desc()).collect()} == want
+    assert {r.id for r in retrieval.ranked(df, F.col("v").desc(), limit=5).collect()} == {i for i, k in want.items() if k <= 5}
+
+
+def test_lineage_has_no_last_step(spark):
+    e = spark.createDataFrame([(f"{i}", f"{i + 1}", "UPDATES") for i in range(12)] + [("12", "3", "DERIVES"), ("5", "5", "UPDATES")], "source_claim_id string, target_claim_id string, relation string")
+    got = {r.id: r.depth for r in graph.lineage(e, spark.createDataFrame([("0",)], "id string"), hops=3).collect()}
+    assert got == {str(i): i for i in range(13)}
