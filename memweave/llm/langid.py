@@ -5,7 +5,9 @@ unit length. The family is the best of one-versus-rest machines over families; r
 apart by a machine for each pair, and the language with most votes (then the larger margins) wins.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text where no
-language could be learned. A language whose code is in no family listed is a family of its own.
+language could be learned. A language whose code is in no family listed is a family of its own. Repeated rows
+are predicted each, equal texts alike; ties of votes and margins go to the first language by name; an empty table
+gives an empty result; texts of any length are read whole, a document of the labelled sample up to ``SAMPLE_CHARS``.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import fold_col, slim
 from .training import score_documents
 
 FOLDS, HELD = 4, 2
-DIM, PER_LANGUAGE, ALTOGETHER = 4_096, 1_000, 12_000
+#: Of the labelled sample: documents of a language, in all, languages that are learned (the most frequent), and characters learned of one document.
+DIM, PER_LANGUAGE, ALTOGETHER, LANGUAGES, SAMPLE_CHARS = 4_096, 1_000, 12_000, 400, 20_000
 #: ISO 639-1 codes by family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
@@ -113,9 +116,12 @@ def train(docs: DataFrame) -> Hierarchy:
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Hierarchy([])
-    most = min(PER_LANGUAGE, ALTOGETHER // len(counts))
-    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, most / n))])
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).collect()
+    often = dict(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:LANGUAGES])
+    most = min(PER_LANGUAGE, ALTOGETHER // len(often))
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(often.items()) for v in (lang, min(1.0, most / n))])
+    # a row is chosen by its id and text, so that rows without an id are spread like any other
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    rows = chosen.select("doc_id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), "lang").collect()
     rows = [r for r in rows if any(map(str.isalpha, r.text))]
     return Hierarchy([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))])
 
