@@ -121,15 +121,19 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: words of each document that the mix takes."""
+    """doc_id, source, size, source_size, target, taken, first_slot: words of each document that the mix takes, and the first slot that takes any.
+
+    Documents in order of first_slot are the mix in order of its schedule; -1 where nothing is taken.
+    """
     sized = cut(sizes(docs))
     sources = cut(source_targets(sized, weights, share, most, block).coalesce(1))
     d = placed(sized, sources)
-    uses = schedule(sources, block).groupBy("pos", "block").agg(F.collect_list("words").alias("offers"))  # at most `most` each
+    uses = schedule(sources, block).groupBy("pos", "block").agg(F.collect_list(F.struct("slot", "words")).alias("offers"))  # at most `most` each
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = d.where("size > 0").select("pos", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
-    took = F.expr(f"""aggregate(offers, 0L, (n, w) -> n + greatest(0L,
-        least(start + size, block * {block} + w) - greatest(start, block * {block})))""")
-    taken = parts.join(uses, ["pos", "block"]).select("pos", "start", took.alias("n")).groupBy("pos", "start").agg(F.sum("n").alias("taken"))
+    own = f"least(start + size, block * {block} + o.words) - greatest(start, block * {block})"
+    took = F.expr(f"aggregate(offers, 0L, (n, o) -> n + greatest(0L, {own}))")
+    slot = F.expr(f"array_min(transform(filter(offers, o -> {own} > 0), o -> o.slot))")
+    taken = parts.join(uses, ["pos", "block"]).select("pos", "start", took.alias("n"), slot.alias("slot")).groupBy("pos", "start").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"))
     out = d.join(taken.withColumn("some", F.lit(True)), [d["pos"] == taken["pos"], d["start"] == taken["start"], d["size"] > 0], "left")
-    return out.select("doc_id", d["source"], d["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", d["source"], d["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"))

@@ -32,21 +32,22 @@ placed AS (
   FROM sized d JOIN src s ON d.source IS NOT DISTINCT FROM s.source),
 points AS (SELECT i AS id, ((i % {PERIOD}) * {GOLDEN}) % {PERIOD} AS point FROM (SELECT unnest(range((SELECT coalesce(max(slots_all), 0) FROM src))) AS i)),
 drawn AS (
-  SELECT s.pos, row_number() OVER (PARTITION BY s.pos ORDER BY p.id) AS rank FROM points p JOIN src s ON p.point >= s.lo AND p.point < s.hi),
+  SELECT s.pos, p.id AS slot, row_number() OVER (PARTITION BY s.pos ORDER BY p.id) AS rank FROM points p JOIN src s ON p.point >= s.lo AND p.point < s.hi),
 got AS (SELECT pos, count(*) AS got FROM drawn GROUP BY pos),
 ranks AS (
-  SELECT pos, rank FROM drawn UNION ALL
-  SELECT pos, unnest(range(coalesce(got, 0) + 1, slots + 1)) FROM src LEFT JOIN got USING (pos) WHERE slots > coalesce(got, 0)),
+  SELECT pos, rank, slot FROM drawn UNION ALL
+  SELECT pos, unnest(range(coalesce(got, 0) + 1, slots + 1)), slots_all + pos FROM src LEFT JOIN got USING (pos) WHERE slots > coalesce(got, 0)),
 slots AS (
-  SELECT r.pos, (r.rank - 1) % s.blocks AS block,
+  SELECT r.pos, r.slot, (r.rank - 1) % s.blocks AS block,
     least((r.rank - 1) // s.blocks * s.source_size + (r.rank - 1) % s.blocks * {BLOCK} + {BLOCK}, ((r.rank - 1) // s.blocks + 1) * s.source_size, s.words)
       - ((r.rank - 1) // s.blocks * s.source_size + (r.rank - 1) % s.blocks * {BLOCK}) AS w
   FROM ranks r JOIN src s USING (pos) WHERE r.rank <= s.slots),
 parts AS (SELECT pos, start, size, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM placed WHERE size > 0),
 taken AS (
-  SELECT p.pos, p.start, sum(greatest(0, least(p.start + p.size, block * {BLOCK} + w) - greatest(p.start, block * {BLOCK})))::BIGINT AS taken
+  SELECT p.pos, p.start, sum(greatest(0, least(p.start + p.size, block * {BLOCK} + w) - greatest(p.start, block * {BLOCK})))::BIGINT AS taken,
+    min(CASE WHEN least(p.start + p.size, block * {BLOCK} + w) > greatest(p.start, block * {BLOCK}) THEN slot END)::BIGINT AS first_slot
   FROM parts p JOIN slots USING (pos, block) GROUP BY p.pos, p.start)
-SELECT p.doc_id, p.source, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken
+SELECT p.doc_id, p.source, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken, coalesce(t.first_slot, -1) AS first_slot
 FROM placed p LEFT JOIN taken t ON p.pos = t.pos AND p.start = t.start AND p.size > 0
 """
 

@@ -89,6 +89,12 @@ def test_mix_meets_targets(spark):
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6
     assert all(abs(taken[s] - want[s]) <= 1 for s in size)
+    assert all((r.first_slot < 0) == (r.taken == 0) for r in got)
+    # the documents in the schedule's order keep each source near its share all along
+    order, upto, whole = sorted((r for r in got if r.taken), key=lambda r: r.first_slot), defaultdict(int), sum(want.values())
+    for r in order[: len(order) // 2]:
+        upto[r.source] += r.taken
+    assert all(abs(upto[s] / max(1, sum(upto.values())) - want[s] / whole) < 0.35 for s in want)
     assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, got))
 
 
