@@ -367,10 +367,10 @@ def resolve_quintuplets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_hash_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest active claim of the same scope and content hash, for each claim."""
+    """The smallest active claim of the same scope and content hash, for each claim; -1 for none."""
     c = model.hashed(model.claims(spark, sf_dir))
     probes = c.select(F.col("id").alias("probe_id"), "tenant_id", "namespace", "user_id", "content_hash")
-    return retrieval.active_by_hash(c, probes).select("probe_id", "survivor")
+    return retrieval.active_by_hash(c, probes).select("probe_id", F.coalesce("survivor", F.lit(-1)).alias("survivor"))
 
 
 def prompt_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
     "resolve_quintuplets": f"""WITH {_FATE} SELECT event_type AS canonical_name, 'is' AS predicate, 'x' AS object_literal, a AS source_claim_id FROM fate
         UNION ALL SELECT event_type, 'was', 'y', 'o' || event_id FROM fate""",
     "active_hash_probe": f"""WITH {_HASHED}, s AS (SELECT tenant_id, namespace, user_id, content_hash, min(id) AS survivor FROM hashed WHERE status = 'active' GROUP BY ALL)
-        SELECT h.id AS probe_id, s.survivor FROM hashed h LEFT JOIN s USING (tenant_id, namespace, user_id, content_hash)""",
+        SELECT h.id AS probe_id, coalesce(s.survivor, -1) AS survivor FROM hashed h LEFT JOIN s USING (tenant_id, namespace, user_id, content_hash)""",
     "reference_check": """SELECT 'vectors' AS what, vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT 'repeated', doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1""",
 }
