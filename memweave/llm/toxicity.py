@@ -186,20 +186,23 @@ class CompressionDistance:
         self.fitted = bool(tox and plain)
         if not self.fitted:
             return
-        self.trained = ordinary_content(plain)
         y = np.array([v for _, v in sample], float)
         # the share of toxic documents in the sample is not that of the corpus
         prior = math.log(max(1e-6, toxic_share) / max(1e-6, 1 - toxic_share)) - math.log(len(tox) / len(plain))
         part = np.arange(len(sample)) % 4 == 0
         best = None
-        inner = toxic_segments([t for (t, v), p in zip(sample, part, strict=True) if v == 1 and not p], [t for (t, v), p in zip(sample, part, strict=True) if v == 0 and not p])
+        # the part left out teaches no dictionary either
+        inner_tox, inner_plain = ([t for (t, v), p in zip(sample, part, strict=True) if v == u and not p] for u in (1, 0))
+        inner = toxic_segments(inner_tox, inner_plain)
+        self.trained = ordinary_content(inner_plain)
         for n in sorted({min(n, len(inner)) for n in SEGMENTS}):
-            x = self._features(sample, inner[:n], tox, plain)
+            x = self._features(sample, inner[:n], inner_tox, inner_plain)
             z = x[part] @ (w := fit_logistic(x[~part], y[~part]))[:-1] + w[-1] + prior
             weight = np.where(y[part] > 0, toxic_share / max(1, (y[part] > 0).sum()), (1 - toxic_share) / max(1, (y[part] == 0).sum()))
             loss = float((weight * np.logaddexp(0, -np.where(y[part] > 0, z, -z))).sum())
             if best is None or loss < best[0] - 1e-4:
                 best = (loss, n)
+        self.trained = ordinary_content(plain)
         self.weights = fit_logistic(self._features(sample, toxic_segments(tox, plain)[: best[1]], tox, plain), y)
         self.weights[-1] += prior
 
