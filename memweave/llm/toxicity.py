@@ -173,7 +173,8 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zsta
 
 def gain_features(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
     plain, other = (c.compress for c in _pair(ordinary, toxic))
-    gains = np.array([len(plain(w)) - len(other(w)) for w in windows(text)] or [0])
+    # windows end at blanks, so the blank that begins a word, as in the dictionary, goes before each
+    gains = np.array([len(plain(w)) - len(other(w)) for w in (b" " + w for w in windows(text))] or [0])
     top = np.clip(-np.partition(-np.append(gains, [0, 0, 0]), 3)[:4], 0, 8)
     above = [float((gains >= g).sum()) for g in (1, 2, 4)]
     n = len(gains)
