@@ -7,7 +7,14 @@ pre-token before the one that the edit touches, as a match may look one characte
 a new border meets an old one behind the edit: from there on matches depend on later text alone, so they
 are as before. Only what lies between is encoded, and only the paths above changed leaves are summed anew.
 
-Defined results: null text counts as empty with no token; edits of an empty text are insertions.
+Trees are rows of a table: ``build_trees`` encodes whole texts once, ``apply_edits`` takes such a table and one of edits
+and returns the trees after them, without encoding the rest again.
+
+Defined results: null text counts as empty with no token; edits of an empty text are insertions. Edits beyond a text's end
+are clamped to it; a null place or text of an edit is 0 or empty. Edits of one document apply in order of seq, then begin, end and new, each to
+the text as the one before left it, a repeated row again; they have to follow one another, so those of one document meet in
+one task. They apply to every row with their doc_id; edits without id or of unknown documents apply to nothing. An empty table
+gives an empty one. A very long text is one row, held whole with about 70 bytes for each pre-token.
 """
 
 from __future__ import annotations
@@ -17,13 +24,14 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim
+from .common import cut, slim
 
 #: The vocabulary by default: ranks of a byte-level BPE, installed on the driver; executors get its contents.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -68,6 +76,16 @@ class SegmentTree:
         self.count, self.text, self.encoded = count, text, 0
         self._build([(len(p), count(p)) for p in count.split(text)])
 
+    @classmethod
+    def restore(cls, text: str, count: Counter, sizes: list[int], pieces: list[tuple[int, int]], chars: list[int], tokens: list[int]) -> SegmentTree:
+        """A stored tree: pre-tokens of each leaf, all pre-tokens, and the sums of its nodes."""
+        tree = cls.__new__(cls)
+        tree.count, tree.text, tree.encoded, tree.width = count, text, 0, len(chars) // 2
+        ends = np.cumsum(sizes).tolist()
+        tree.leaves = [pieces[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+        tree.chars, tree.tokens = chars, tokens
+        return tree
+
     def _build(self, pieces: list[tuple[int, int]]) -> None:
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.width = 1 << max(0, (len(self.leaves) - 1).bit_length())
@@ -163,30 +181,109 @@ class SegmentTree:
             above = {i // 2 for i in above}
 
 
-def sample_edits(text: str) -> list[tuple[int, int, str]]:
+#: Columns of a stored tree: pre-tokens of each leaf; characters and tokens of each pre-token; sums of each node, the root at 1.
+TREE = {"leaf_sizes": "int", "piece_chars": "int", "piece_tokens": "int", "node_chars": "bigint", "node_tokens": "bigint"}
+SCHEMA = "doc_id bigint, text string, " + ", ".join(f"{n} array<{k}>" for n, k in TREE.items()) + ", reencoded bigint"
+#: Documents of one Arrow batch of trees.
+ROWS = 256
+
+
+def _rows(ids: pa.Array, trees: list[SegmentTree]) -> pa.RecordBatch:
+    def lists(rows: list[list[int]], kind: str) -> pa.Array:
+        return pa.array(rows, pa.list_(pa.int32() if kind == "int" else pa.int64()))
+
+    parts = {
+        "leaf_sizes": [[len(own) for own in t.leaves] for t in trees],
+        "piece_chars": [[c for own in t.leaves for c, _ in own] for t in trees],
+        "piece_tokens": [[n for own in t.leaves for _, n in own] for t in trees],
+        "node_chars": [t.chars for t in trees],
+        "node_tokens": [t.tokens for t in trees],
+    }
+    columns = {"doc_id": ids, "text": pa.array([t.text for t in trees], pa.string())}
+    columns |= {n: lists(parts[n], k) for n, k in TREE.items()}
+    return pa.record_batch(columns | {"reencoded": pa.array([t.encoded for t in trees], pa.int64())})
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
+
+
+def _vocabulary(docs: DataFrame, path: str):
+    with open(path, "rb") as f:  # on the driver
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The tree of each document, every pre-token encoded: a table to keep and to edit."""
+    ranks = _vocabulary(docs, vocabulary)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(ranks.value)
+        for batch in _parts(batches):
+            yield _rows(batch.column("doc_id"), [SegmentTree(t or "", count) for t in batch.column("text").to_pylist()])
+
+    return slim(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(task, SCHEMA)
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``trees`` after ``edits`` (doc_id, seq, begin, end, new); ``reencoded`` counts the pre-tokens that were encoded for them."""
+    steps = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(c).cast("long").alias(c) for c in ("seq", "begin", "end")], F.col("new").cast("string").alias("new")).alias("e"))
+    steps = steps.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list("e")).alias("edits"))
+    ranks = _vocabulary(trees, vocabulary)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(ranks.value)
+        for batch in _parts(batches):
+            yield _rows(batch.column("doc_id"), [_apply(*pair) for pair in _restored(batch, count)])
+
+    return trees.select("doc_id", "text", *TREE).join(steps, "doc_id", "left").select("doc_id", "text", *TREE, "edits").mapInArrow(task, SCHEMA)
+
+
+def _restored(batch: pa.RecordBatch, count: Counter) -> Iterator[tuple[SegmentTree, list[dict]]]:
+    for text, sizes, chars, tokens, node_chars, node_tokens, steps in zip(*(batch.column(n).to_pylist() for n in ("text", *TREE, "edits")), strict=True):
+        yield SegmentTree.restore(text or "", count, sizes, list(zip(chars, tokens, strict=True)), node_chars, node_tokens), steps or []
+
+
+def _apply(tree: SegmentTree, steps: list[dict]) -> SegmentTree:
+    for e in steps:
+        tree.edit(e["begin"] or 0, e["end"] or 0, e["new"] or "")
+    return tree
+
+
+def sample_edits(text: Column) -> Column:
     """Three edits, each of the text as the one before left it: a word inserted in the middle, a stretch cut at a quarter, the end rewritten."""
-    n = len(text)
-    word = " edited"
-    return [(n // 2, n // 2, word), (n // 4, n // 4 + min(40, n // 8), ""), (n + len(word) - min(40, n // 8) - min(10, n // 4), n + len(word), "; revised 2 times.")]
+    n, word = F.length(F.coalesce(text, F.lit(""))).cast("long"), " edited"
+
+    def part(of: int, most: int | None = None) -> Column:
+        found = F.floor(n / of)
+        return found if most is None else F.least(F.lit(most).cast("long"), found)
+
+    steps = [
+        (part(2), part(2), word), (part(4), part(4) + part(8, 40), ""),
+        (n + len(word) - part(8, 40) - part(4, 10), n + len(word), "; revised 2 times."),
+    ]
+    return F.array(*[F.struct(b.cast("long").alias("begin"), e.cast("long").alias("end"), F.lit(new).alias("new")) for b, e, new in steps])
 
 
 def edited_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens, edited_sha256, edited_tokens, reencoded: counts before and after the sample edits."""
-    with open(vocabulary, "rb") as f:  # on the driver
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    """doc_id, n_pretokens, n_tokens, edited_sha256, edited_tokens, reencoded: counts of stored trees before and after the sample edits.
+
+    Edits of the query are functions of the text, so they stand beside each tree and need no join.
+    """
+    trees = cut(build_trees(docs, vocabulary).drop("reencoded")).withColumn("edits", sample_edits(F.col("text")))
+    ranks = _vocabulary(docs, vocabulary)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(ranks.value)
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                tree = SegmentTree(text or "", count)
+            for tree, steps in _restored(batch, count):
                 before = (sum(map(len, tree.leaves)), tree.total)
-                for edit in sample_edits(text or ""):
-                    tree.edit(*edit)
+                _apply(tree, steps)
                 rows.append((*before, hashlib.sha256(tree.text.encode()).hexdigest(), tree.total, tree.encoded))
-            kinds = {"n_pretokens": pa.int64(), "n_tokens": pa.int64(), "edited_sha256": pa.string(), "edited_tokens": pa.int64(), "reencoded": pa.int64()}
             yield pa.record_batch({"doc_id": batch.column("doc_id")} | {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())})
 
+    kinds = {"n_pretokens": pa.int64(), "n_tokens": pa.int64(), "edited_sha256": pa.string(), "edited_tokens": pa.int64(), "reencoded": pa.int64()}
     schema = "doc_id bigint, n_pretokens bigint, n_tokens bigint, edited_sha256 string, edited_tokens bigint, reencoded bigint"
-    return slim(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(task, schema)
+    return trees.select("doc_id", "text", *TREE, "edits").mapInArrow(task, schema)

@@ -59,12 +59,48 @@ def test_reported_counts(spark):
         count = tokens.counter(f.read())
     text = rows[2][1]
     assert got[3].n_tokens == len(count.encoding.encode_ordinary(text)) and got[1].n_tokens == got[2].n_tokens == 0
-    for edit in tokens.sample_edits(text):
+    n, w = len(text), len(" edited")
+    cut = min(40, n // 8)
+    for edit in [(n // 2, n // 2, " edited"), (n // 4, n // 4 + cut, ""), (n + w - cut - min(10, n // 4), n + w, "; revised 2 times.")]:
         text = text[: max(0, edit[0])] + edit[2] + text[max(edit[0], edit[1]) :]
     assert got[3].edited_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[3].edited_tokens == len(count.encoding.encode_ordinary(text))
     assert got[3].reencoded < 60 < got[3].n_pretokens
 
 
+def test_stored_trees_take_edits(spark):
+    with open(tokens.VOCABULARY, "rb") as f:
+        count = tokens.counter(f.read())
+    rng = random.Random(11)
+    words = ["one", " two", "\n\n", " 3", "é", "漢字", " four's", "  "]
+    texts = {i: "".join(rng.choice(words) for _ in range(rng.choice([0, 1, 40, 3000]))) for i in range(30)} | {30: None, 31: "long " * 60_000}
+    rows = [*texts.items(), (None, "no id"), (31, "same id, other text")]
+    steps = [(i, s, rng.randint(0, 400), rng.randint(0, 500), rng.choice(words) * rng.randint(0, 3)) for i in texts if i % 3 for s in range(3)]
+    steps += [(31, 9, 100, 104, "x"), (31, 9, 100, 104, "x"), (99, 0, 0, 0, "unknown"), (None, 0, 0, 0, "no id"), (1, 10, None, None, None)]
+    kinds = "doc_id long, seq int, begin int, end int, new string"
+    edits = spark.createDataFrame(steps, kinds).withColumn("text", F.lit(0))
+    trees = tokens.build_trees(docs(spark, rows))
+    once = tokens.apply_edits(trees, edits)
+    twice = tokens.apply_edits(once, edits)  # edited trees are trees
+
+    def walk(i, text, times):
+        for _ in range(times):
+            for _, _, a, b, new in sorted([e for e in steps if e[0] == i and i is not None], key=lambda e: (e[1], e[2] or 0, e[3] or 0, e[4] or "")):
+                a, b = min(a or 0, len(text)), min(b or 0, len(text))
+                text = text[:a] + (new or "") + text[max(a, b) :]
+        return text
+
+    for df, times in ((trees, 0), (once, 1), (twice, 2)):
+        got = df.collect()
+        want = sorted((str(i), walk(i, t or "", times)) for i, t in rows)
+        assert sorted((str(r.doc_id), r.text) for r in got) == want
+        for r in got:
+            assert sum(r.piece_chars) == r.node_chars[1] == len(r.text) and sum(r.leaf_sizes) == len(r.piece_chars)
+            assert sum(r.piece_tokens) == r.node_tokens[1] == len(count.encoding.encode_ordinary(r.text))
+            assert not times or r.reencoded < 400
+    assert all(r.reencoded == 0 for r in once.where("doc_id % 3 = 0 or doc_id is null").collect())
+    assert tokens.apply_edits(trees.where("false"), edits).count() == 0 and tokens.apply_edits(trees, edits.where("false")).count() == len(rows)
+
+
 def test_escapes_round_trip():
     rng = random.Random(1)
     bits = ["<", "[", "\\", "/s>", "<s>", "</s>", "[INST]", "[/INST]", "<|turn|>", "<|text|>", "<|image:0|>", "INST]", "|turn|>", "x", "\n"]
