@@ -26,9 +26,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, **options: str) -> DataFrame:
         path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((out, path))
         return out
@@ -45,9 +45,9 @@ class Scratch:
         self.tables = kept
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into a table of the shared folder, which stays."""
-    return Scratch(df.sparkSession).cut(df)
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` computed once into a table of the shared folder, which stays; ``options`` are the writer's."""
+    return Scratch(df.sparkSession).cut(df, **options)
 
 
 _LOCAL: list[str] = []

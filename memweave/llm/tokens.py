@@ -23,8 +23,8 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -81,7 +81,7 @@ class SegmentTree:
         """A stored tree: pre-tokens of each leaf, all pre-tokens, and the sums of its nodes."""
         tree = cls.__new__(cls)
         tree.count, tree.text, tree.encoded, tree.width = count, text, 0, len(chars) // 2
-        ends = np.cumsum(sizes).tolist()
+        ends = list(accumulate(sizes))
         tree.leaves = [pieces[e - n : e] for e, n in zip(ends, sizes, strict=True)]
         tree.chars, tree.tokens = chars, tokens
         return tree
@@ -189,15 +189,19 @@ ROWS = 256
 
 
 def _rows(ids: pa.Array, trees: list[SegmentTree]) -> pa.RecordBatch:
-    def lists(rows: list[list[int]], kind: str) -> pa.Array:
-        return pa.array(rows, pa.list_(pa.int32() if kind == "int" else pa.int64()))
+    def lists(rows: Iterator[list[int]], kind: str) -> pa.Array:
+        flat, ends = [], [0]
+        for row in rows:
+            flat += row
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32() if kind == "int" else pa.int64()))
 
     parts = {
-        "leaf_sizes": [[len(own) for own in t.leaves] for t in trees],
-        "piece_chars": [[c for own in t.leaves for c, _ in own] for t in trees],
-        "piece_tokens": [[n for own in t.leaves for _, n in own] for t in trees],
-        "node_chars": [t.chars for t in trees],
-        "node_tokens": [t.tokens for t in trees],
+        "leaf_sizes": ([len(own) for own in t.leaves] for t in trees),
+        "piece_chars": ([c for own in t.leaves for c, _ in own] for t in trees),
+        "piece_tokens": ([n for own in t.leaves for _, n in own] for t in trees),
+        "node_chars": (t.chars for t in trees),
+        "node_tokens": (t.tokens for t in trees),
     }
     columns = {"doc_id": ids, "text": pa.array([t.text for t in trees], pa.string())}
     columns |= {n: lists(parts[n], k) for n, k in TREE.items()}
@@ -241,7 +245,11 @@ def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY
 
 
 def _restored(batch: pa.RecordBatch, count: Counter) -> Iterator[tuple[SegmentTree, list[dict]]]:
-    for text, sizes, chars, tokens, node_chars, node_tokens, steps in zip(*(batch.column(n).to_pylist() for n in ("text", *TREE, "edits")), strict=True):
+    def lists(name: str) -> Iterator[list[int]]:
+        ends, values = batch.column(name).offsets.to_numpy(), batch.column(name).values.to_numpy()
+        return (values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
+
+    for text, sizes, chars, tokens, node_chars, node_tokens, steps in zip(batch.column("text").to_pylist(), *map(lists, TREE), batch.column("edits").to_pylist(), strict=True):
         yield SegmentTree.restore(text or "", count, sizes, list(zip(chars, tokens, strict=True)), node_chars, node_tokens), steps or []
 
 
@@ -271,7 +279,7 @@ def edited_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Edits of the query are functions of the text, so they stand beside each tree and need no join.
     """
-    trees = cut(build_trees(docs, vocabulary).drop("reencoded")).withColumn("edits", sample_edits(F.col("text")))
+    trees = cut(build_trees(docs, vocabulary).drop("reencoded"), compression="zstd").withColumn("edits", sample_edits(F.col("text")))
     ranks = _vocabulary(docs, vocabulary)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
