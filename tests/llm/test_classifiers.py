@@ -81,3 +81,27 @@ def test_without_labels_or_rows(spark, corpus):
 def test_windows_hold_the_whole_text():
     for t in ("", "a b", "x" * 500, "word " * 300, "é" * 200):
         assert b"".join(toxicity.windows(t)) == t.lower().encode()
+
+
+def test_quality_learns_from_every_labelled_document(spark, corpus, monkeypatch):
+    """No document is left out of the fit, in few large groups or in many with copies of the rarer label."""
+    docs, labels = corpus
+    labelled = quality._labelled(docs, labels)
+    want = {r.doc_id: r.quality for r in labels.where("quality is not null and doc_id is not null").collect() if common.fold(r.doc_id, 5)}
+    assert sorted(r.y for r in labelled.dropDuplicates(["h"]).collect()) == sorted(want.values())
+    seen = []
+    monkeypatch.setattr(quality, "FEWER", 20)
+    monkeypatch.setattr(quality, "MORE", 30)
+    inner = quality._summed
+    monkeypatch.setattr(quality, "_summed", lambda df, task, size: (seen.append(df), inner(df, task, size))[1])
+    cut = common.Scratch.drop
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *a, **b: None)
+    quality.BradleyTerry(docs, labels)
+    monkeypatch.setattr(common.Scratch, "drop", cut)
+    groups = seen[1].collect()
+    few = 0 if sum(want.values()) * 2 > len(want) else 1
+    assert len(groups) > 1 and sum(y == 1 - few for g in groups for y in g.y) == sum(v == 1 - few for v in want.values())
+    assert len({bytes(x) for g in groups for x in g.x}) == len({bytes(r.x) for r in seen[0].collect()})
+    for g in groups:
+        good, bad = quality._pairs(quality.np.array(g.y))
+        assert set(good) | set(bad) == set(range(len(g.y)))
