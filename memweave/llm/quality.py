@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_col, slim
-from .training import score_documents
+from .common import Scratch, cut, fold_col, slim
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.3
 PAIRS, RIDGE, PART = 40_000, 40.0, 40
@@ -54,25 +53,34 @@ def features(text: str) -> list[float]:
     ]
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, y, text) of every labelled document outside the held-out fold; h a hash of its id and text."""
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [np.array(features(t or "")).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "x": pa.array(x, pa.binary())})
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, x) of every document; h a hash of its id and text, x its features, some 150 bytes in place of the text."""
+    rows = slim(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_featured, "doc_id bigint, h bigint, x binary")
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(h, y, x) of every labelled document outside the held-out fold; ``rows`` is ``featured(docs)`` where that is stored.
+
+    Features are joined, not texts, so no text is shuffled however large ``labels`` is.
+    """
     of = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_col("doc_id", FOLDS) != HELD))
         .groupBy("doc_id").agg(F.min("y").alias("y"))
     )
-    rows = slim(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(of, "doc_id")
-    return rows.select(F.xxhash64("doc_id", "text").alias("h"), "y", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = [np.array(features(t)).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.record_batch({"h": batch.column("h"), "y": batch.column("y"), "x": pa.array(x, pa.binary())})
+    rows = featured(docs) if rows is None else rows
+    return rows.where(fold_col("doc_id", FOLDS) != HELD).join(of, "doc_id").select("h", "y", "x")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(len(column), len(features("")))
 
 
 def _summed(df: DataFrame, task, size: int) -> np.ndarray:
@@ -100,9 +108,9 @@ def _pairs(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class BradleyTerry:
     """Linear scores in units of the log-odds of being preferred, and the map of them to 0 to 1."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame):
+    def __init__(self, docs: DataFrame, labels: DataFrame, rows: DataFrame | None = None):
         scratch = Scratch(docs.sparkSession)
-        rows = scratch.cut(_labelled(docs, labels).mapInArrow(_featured, "h bigint, y int, x binary").dropDuplicates(["h", "y"]))
+        rows = scratch.cut(_labelled(docs, labels, rows).dropDuplicates(["h", "y"]))
         n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         self.fitted = len(n) == 2
         if self.fitted:
@@ -181,23 +189,26 @@ class BradleyTerry:
     def _standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 
-    def raw(self, text: str) -> float:
-        return float(self._standard(np.array(features(text))) @ self.weights)
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return (self._standard(x) * self.weights).sum(axis=1)  # row by row, so that a score doesn't depend on its batch
 
-    def score(self, text: str) -> float:
-        """0 to 1: THRESHOLD at the threshold, linear on both sides, bent to stay inside beyond the range of the labelled."""
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of features, 0 to 1: THRESHOLD at the threshold, linear on both sides, bent to stay inside beyond the range of the labelled."""
         if not self.fitted:
-            return 0.5
-        s = self.raw(text)
-        if s >= self.threshold:
-            u = (s - self.threshold) / (self.high - self.threshold)
-            return THRESHOLD + (1 - THRESHOLD) * (u / (0.05 + u) if u > 0 else 0.0)
-        u = (self.threshold - s) / (self.threshold - self.low)
-        return THRESHOLD * 0.05 / (0.05 + u)
+            return np.full(len(x), 0.5)
+        s = self.raw(x)
+        up, down = np.maximum(s - self.threshold, 0) / (self.high - self.threshold), np.maximum(self.threshold - s, 0) / (self.threshold - self.low)
+        return np.where(s >= self.threshold, THRESHOLD + (1 - THRESHOLD) * (up / (0.05 + up)), THRESHOLD * 0.05 / (0.05 + down))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = BradleyTerry(docs, labels)
-    scored = score_documents(docs, lambda texts: {"score": np.array([model.score(t) for t in texts], float)}, "score double")
+    rows = cut(featured(docs))
+    model = BradleyTerry(docs, labels, rows)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(model.score(_matrix(batch.column("x"))), pa.float64())})
+
+    scored = rows.select("doc_id", "x").mapInArrow(task, "doc_id bigint, score double")
     return scored.select("doc_id", (fold_col("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -50,6 +50,24 @@ def test_quality(spark, corpus):
     assert all(r.held_out == (common.fold(r.doc_id, 5) == 0) for r in rows if r.doc_id is not None)
 
 
+def test_quality_joins_labels_to_features_not_texts(spark, corpus, tmp_path):
+    """Without broadcasts, as with many labels, no text goes through a shuffle."""
+    docs, labels = corpus
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quality._labelled(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+        got = quality.quality_scores(docs, labels).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    assert not any("text#" in x for x in lines[: next(i for i, x in enumerate(lines) if "MapInArrow" in x)])
+    by = lambda rows: sorted((r.doc_id is None, r.doc_id, r.score) for r in rows)
+    assert by(got) == by(quality.quality_scores(docs, labels).collect())
+
+
 def test_toxicity(spark, corpus):
     docs, labels = corpus
     got = toxicity.toxicity_scores(docs, labels)
